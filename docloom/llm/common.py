@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ def range_bucket(key: Column, bounds: list[int]) -> Column:
     """How many of `bounds` are below `key`, by binary search; null keys go with the smallest."""
     if not bounds:
         return F.lit(0)
-    table = F.array(*[F.lit(b).cast("bigint") for b in bounds])
+    table = F.lit(np.array(bounds, dtype="int64"))
     n = len(bounds)
     steps = F.sequence(F.lit(1), F.lit(n.bit_length()))
     start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))

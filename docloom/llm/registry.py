@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from docloom.llm import secrets
+from docloom.llm import fingerprints, secrets
 
 
 def queries() -> dict:
-    return {"op1_secret_scan": secrets.op1_secret_scan}
+    return {
+        "op1_secret_scan": secrets.op1_secret_scan,
+        "op2_fingerprint": fingerprints.op2_fingerprint,
+    }
 
 
 def oracle_sql() -> dict:
