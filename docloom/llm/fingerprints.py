@@ -3,8 +3,8 @@
 A text's terms are its words, runs between white space, lower-cased, weighted by how often they occur. For each term t
 and coordinate k, hashes of (t, k) give r and c from Gamma(2, 1) and beta from U(0, 1), the same in every document.
 With q = floor(ln w / r + beta), the coordinate is the (t, q) for which ln c - r * (q - beta + 1) is least. The chance that
-two texts agree in a coordinate is their generalised Jaccard similarity, sum(min(w)) / sum(max(w)). The gamma samples
-come from the inverse distribution function at LEVELS midpoints; a coordinate is kept as 16 bits of a hash of (t, q).
+two texts agree in a coordinate is their generalised Jaccard similarity, sum(min(w)) / sum(max(w)). The least value
+belongs to one (t, q) only, so 16 bits of its hash stand for the coordinate.
 
 Equal texts have equal fingerprints. Null text counts as empty. A text without words has a fingerprint of dashes, which
 agrees with another such text only. Documents follow each other by descending doc_id, nulls last, then by text; after
@@ -18,67 +18,59 @@ range.
 
 from __future__ import annotations
 
-import math
-from functools import cache
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import fresh, partitions, q, range_bounds, range_bucket, read
 
-SIZE = 64
-LEVELS = 1 << 12
+SIZE = 32
 WORDS = r"[\x20\x09-\x0D]+"
 SPREAD = 4  # ranges to each shuffle partition, so that hashing ranges to partitions deals them evenly
 
 
-@cache
-def gamma2_levels(n: int = LEVELS) -> tuple[float, ...]:
-    """The Gamma(2, 1) quantiles at (i + 0.5) / n, from 1 - (1 + x) * exp(-x) by Newton steps."""
-    out, x = [], 0.0
-    for i in range(n):
-        p = (i + 0.5) / n
-        x = max(x, math.sqrt(2 * p) / 2, 1e-9)
-        for _ in range(60):
-            step = (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x))
-            x = max(x - step, x / 2)
-            if abs(step) < 1e-13 * x:
-                break
-        out.append(x)
-    return tuple(out)
+def _sample(term: Column, ln_weight: Column, k: int) -> Column:
+    """ln a of Ioffe's a = c / (y * exp(r)) for one term and coordinate; the number also tells which (t, q) it is of.
+
+    One hash gives four uniforms of 12 bits, whose products' logarithms are the gamma samples, and beta of 16 bits.
+    """
+    h = F.xxhash64(term.bitwiseXOR(F.lit(_salt(k))))
+    uniform = lambda at, n: (F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << n) - 1)).cast("int") + 0.5) / float(1 << n)
+    r = -F.ln(uniform(0, 12) * uniform(12, 12))
+    ln_c = F.ln(-F.ln(uniform(24, 12) * uniform(36, 12)))
+    beta = uniform(48, 16)
+    return ln_c - r * (F.floor(ln_weight / r + beta) - beta + 1)
 
 
-def _coordinate(term: Column, ln_weight: Column, k: int, gamma: Column, ln_gamma: Column) -> Column:
-    """A sample as one number to take the least of: the sample's value in the high bits, a hash of (t, q) in the low 16.
+def _salt(k: int) -> int:
+    """Signed 64-bit constants, far apart in every bit: multiples of the golden ratio's fraction."""
+    n = (k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+    return n - (1 << 64) if n >> 63 else n
 
-    Values are compared to 2**-40 of their range of +-512, which random draws tie on with no weight that matters.
-    """
-    h = F.xxhash64(term, F.lit(k))
-    bits = lambda at, n: F.shiftrightunsigned(h, at).bitwiseAND(F.lit(n - 1)).cast("int")
-    r = F.get(gamma, bits(0, LEVELS))
-    ln_c = F.get(ln_gamma, bits(12, LEVELS))
-    beta = (bits(24, 1 << 30) + 0.5) / (1 << 30)
-    level = F.floor(ln_weight / r + beta)
-    value = ln_c - r * (level - beta + 1)
-    low = F.xxhash64(h, level).bitwiseAND(F.lit(0xFFFF))
-    return F.shiftleft(F.floor(F.greatest(F.least(value, F.lit(511.0)), F.lit(-511.0)) * float(1 << 36)), 16).bitwiseOR(low)
-
-
-def fingerprints(texts: DataFrame, keys: list[str], text: str, size: int = SIZE) -> DataFrame:
-    """`keys` and `fingerprint` for each distinct value of `keys`: 4 hex digits a coordinate, or 4 dashes.
-
-    Rows of equal keys are one bag of words. The caller may have dealt the rows by some of `keys`; no other exchange
-    is then needed.
+
+def fingerprints(texts: DataFrame, keys: list[str], bodies: dict[str, str], size: int = SIZE) -> DataFrame:
+    """`keys` and, for each distinct value of them, a fingerprint of every text column: 4 hex digits a coordinate, or 4 dashes.
+
+    bodies: from the fingerprints' names to the text columns. A term that several of a row's texts have is sampled
+    once for all of them. Rows of equal keys are one bag of words; a null text has no words. The caller may have dealt
+    the rows by some of `keys`; no other exchange is then needed.
     """
-    term, n, ln_w = fresh(texts, "cws_term", "cws_count", "cws_ln")
-    words = F.filter(F.split(F.translate(q(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), WORDS), lambda w: w != "")
-    terms = texts.select(*keys, F.explode_outer(words).alias(term)).select(*keys, F.when(q(term).isNotNull(), F.xxhash64(term)).alias(term))
-    counted = terms.groupBy(*keys, term).agg(F.count(F.lit(1)).alias(n)).select(*keys, term, F.ln(n).alias(ln_w))
-    gamma, ln_gamma = F.lit(np.array(gamma2_levels())), F.lit(np.log(gamma2_levels()))
-    samples = [F.min(F.when(q(term).isNotNull(), _coordinate(q(term), q(ln_w), k, gamma, ln_gamma))).alias(f"cws_{k}") for k in range(size)]
-    digits = lambda k: F.coalesce(F.lower(F.lpad(F.hex(q(f"cws_{k}").bitwiseAND(F.lit(0xFFFF))), 4, "0")), F.lit("----"))
-    return counted.groupBy(*keys).agg(*samples).select(*keys, F.concat(*map(digits, range(size))).alias("fingerprint"))
+    term, which, word = fresh(texts, "cws_term", "cws_which", "cws_word")
+    names = list(bodies)
+    lower = lambda c: F.translate(q(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda c: F.filter(F.split(F.coalesce(lower(c), F.lit("")), WORDS), lambda w: w != "")
+    each = F.array(*[F.struct(F.lit(i).alias("i"), words(c).alias("w")) for i, c in enumerate(bodies.values())])
+    terms = texts.select(*keys, F.explode(each).alias(which)).select(*keys, q(which)["i"].alias(which), F.explode_outer(q(which)["w"]).alias(word))
+    terms = terms.select(*keys, which, F.when(q(word).isNotNull(), F.xxhash64(word)).alias(term))
+    weights = [F.ln(F.sum(F.when((q(which) == i) & q(term).isNotNull(), 1).otherwise(0))).alias(f"cws_ln_{i}") for i in range(len(names))]
+    counted = terms.groupBy(*keys, term).agg(*weights)
+    samples = [F.min(_sample(q(term), q(f"cws_ln_{i}"), k)).alias(f"cws_{i}_{k}") for k in range(size) for i in range(len(names))]
+
+    def digits(least: Column) -> Column:
+        return F.coalesce(F.lower(F.substring(F.hex(F.when(least.isNotNull(), F.xxhash64(least).bitwiseAND(F.lit(0xFFFF)) + 0x10000)), 2, 4)), F.lit("----"))
+
+    prints = [F.concat(*[digits(q(f"cws_{i}_{k}")) for k in range(size)]).alias(name) for i, name in enumerate(names)]
+    return counted.groupBy(*keys).agg(*samples).select(*keys, *prints)
 
 
 def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
@@ -109,16 +101,11 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_next(read(spark, sf_dir, "documents").select("doc_id", "text"))
     n = F.char_length("text")
-    cut = F.floor(n / 3).cast("int")
-    edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 3) as int))"), F.expr("substring(next_text, 1, cast(floor(char_length(text) / 3) as int))"))
-    edited = F.when(cut > 0, edited).otherwise(F.col("text"))
-    docs = docs.select("part", "copy", "doc_id", "at", "text", F.when(F.col("copy") == 0, edited).alias("edited"), n.cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha"))
-    own = F.col("copy") == 0
-    kinds = F.array_compact(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.when(own, F.struct(F.lit(1).alias("kind"), F.col("edited").alias("body")))))
-    facts = ["part", "at", "copy", "doc_id", "n_chars", "edited_sha256", "kind"]
-    bodies = docs.withColumn("edited_sha256", F.when(own, F.sha2("edited", 256))).select("part", "at", "copy", "doc_id", "n_chars", "edited_sha256", F.explode(kinds).alias("k")).select(*facts[:-1], "k.kind", "k.body")
-    prints = fingerprints(bodies, facts, "body")
-    both = prints.groupBy(*facts[:-1]).agg(F.max(F.when(F.col("kind") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("kind") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
+    edited = F.expr("concat(substring(text, 1, char_length(text) - char_length(text) div 3), substring(next_text, 1, int(char_length(text) div 3)))")
+    docs = docs.withColumn("edited", F.when(F.col("copy") == 0, F.when(n >= 3, edited).otherwise(F.col("text"))))
+    facts = ["part", "at", "copy", "doc_id", "n_chars", "edited_sha256"]
+    bodies = docs.select("part", "at", "copy", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
+    both = fingerprints(bodies, facts, {"fingerprint": "text", "edited_fingerprint": "edited"})
     following = both.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("part").orderBy("at")))
     return following.filter("copy = 0").select(
         "doc_id",
