@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from docloom.llm import fingerprints, secrets
+from docloom.llm import fingerprints, packing, secrets, sharding
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
         "op2_fingerprint": fingerprints.op2_fingerprint,
+        "op4_sharding": sharding.op4_sharding,
+        "op5_packing": packing.op5_packing,
     }
 
 
