@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import fingerprints, packing, secrets, sharding
+from docloom.llm import decontamination, fingerprints, packing, secrets, sharding, tokencounts
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_fingerprint": fingerprints.op2_fingerprint,
         "op4_sharding": sharding.op4_sharding,
         "op5_packing": packing.op5_packing,
+        "op8_decontamination": decontamination.op8_decontamination,
+        "op10_token_counts": tokencounts.op10_token_counts,
     }
 
 
