@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import decontamination, fingerprints, packing, secrets, sharding, tokencounts
+from docloom.llm import decontamination, fingerprints, languages, packing, secrets, sharding, tokencounts
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_packing": packing.op5_packing,
         "op8_decontamination": decontamination.op8_decontamination,
         "op10_token_counts": tokencounts.op10_token_counts,
+        "op9_language_id": languages.op9_language_id,
     }
 
 
