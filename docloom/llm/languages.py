@@ -38,6 +38,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 ROUNDS = 2
 LANGUAGES = 256
 CACHE = 300_000
+SHORT = 30
+RISE = 50.0
 SMOOTH = 0.1  # added to every expected count
 FOLDS, HELD_OUT = 5, 0
 
@@ -62,82 +64,157 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in LETTERS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
 
 
+@lru_cache(maxsize=2)
+def trie(name: str = VOCABULARY) -> dict:
+    """The pieces by their characters; a piece's number is under the empty string."""
+    root: dict = {}
+    for piece, number in pieces(name)[0].items():
+        node = root
+        for c in piece:
+            node = node.setdefault(c, {})
+        node[""] = number
+    return root
+
+
+class Lattices:
+    """All ways to cut some words (after a mark) into pieces, as arrays of arcs: word, begin, end, piece."""
+
+    def __init__(self, words: list[str], name: str):
+        root, unknown = trie(name), len(pieces(name)[0])
+        arcs: list[tuple[int, int, int, int]] = []
+        for i, word in enumerate(words):
+            s = MARK + word
+            n = len(s)
+            for b in range(n):
+                node, single = root, True
+                for e in range(b, n):
+                    node = node.get(s[e])
+                    if node is None:
+                        break
+                    piece = node.get("")
+                    if piece is not None:
+                        arcs.append((i, b, e + 1, piece))
+                        single = single and e > b
+                if single:
+                    arcs.append((i, b, b + 1, unknown))
+        self.lengths = np.array([len(w) + 1 for w in words])
+        self.word, self.begin, self.end, self.piece = np.array(arcs, dtype=np.int64).reshape(-1, 4).T
+
+    def sweep(self, values: np.ndarray, weights: np.ndarray, forward: bool) -> np.ndarray:
+        """Fills values[word, place] with the sums over arcs that end (or, backward, begin) there, one place at a time."""
+        to, from_ = (self.end, self.begin) if forward else (self.begin, self.end)
+        order = np.lexsort((self.word, to))
+        cuts = np.searchsorted(to[order], np.arange(values.shape[1] + 1))
+        places = range(1, values.shape[1]) if forward else range(values.shape[1] - 2, -1, -1)
+        for place in places:
+            own = order[cuts[place] : cuts[place + 1]]
+            if len(own):
+                words = self.word[own]
+                heads = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+                values[words[heads], place] = np.add.reduceat(values[words, from_[own]] * weights[own], heads, axis=0)
+        return values
+
+
 @dataclass
 class Model:
-    """weights[piece, language]: probabilities; the last row is the floor for a character that is no piece."""
+    """weights[piece, language]: probabilities; the last row is the floor for a character that is no piece.
+
+    Sums over segmentations are held multiplied by RISE for each character, so that no word of up to SHORT letters
+    comes near the ends of the number range; longer words are scaled place by place.
+    """
 
     languages: list[str]
     priors: np.ndarray
     weights: np.ndarray
     vocabulary: str = VOCABULARY
 
-    def lattice(self, word: str) -> list[list[tuple[int, int]]]:
-        """For every end in MARK + word, the (begin, piece) that lead to it."""
-        number, longest = pieces(self.vocabulary)
-        s, unknown = MARK + word, len(number)
-        out = []
-        for end in range(1, len(s) + 1):
-            arcs = [(b, number[s[b:end]]) for b in range(max(0, end - longest), end) if s[b:end] in number]
-            if not any(b == end - 1 for b, _ in arcs):
-                arcs.append((end - 1, unknown))
-            out.append(arcs)
+    def raised(self, own: Lattices, language: np.ndarray | slice) -> np.ndarray:
+        w = self.weights[own.piece] if isinstance(language, slice) else self.weights[own.piece, language[own.word]]
+        rise = RISE ** (own.end - own.begin)
+        return w * (rise[:, None] if w.ndim == 2 else rise)
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """Of each word in each language."""
+        out = np.empty((len(words), len(self.languages)))
+        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+        step = max(16, min(4096, 4_000_000 // (SHORT * max(1, len(self.languages)))))
+        for at in range(0, len(short), step):
+            index = short[at : at + step]
+            own = Lattices([words[i] for i in index], self.vocabulary)
+            alpha = np.zeros((len(index), SHORT + 2, len(self.languages)))
+            alpha[:, 0] = 1.0
+            own.sweep(alpha, self.raised(own, slice(None)), True)
+            out[index] = np.log(alpha[np.arange(len(index)), own.lengths]) - (own.lengths * math.log(RISE))[:, None]
+        for i, word in enumerate(words):
+            if len(word) > SHORT:
+                out[i] = [self.scaled(word, k)[1][-1] for k in range(len(self.languages))]
         return out
 
-    def forward(self, arcs: list[list[tuple[int, int]]]) -> tuple[list[np.ndarray], list[float]]:
-        """alpha at each place, divided by exp of the sum of the scales up to it, which keep it from vanishing."""
-        alpha, scale = [np.ones(len(self.languages))], [0.0]
-        w, total = self.weights, 0.0
+    def scaled(self, word: str, language: int) -> tuple[list[list[tuple[int, int]]], list[float]]:
+        """A long word's arcs by end, and the logarithm of the sum over all ways to each place."""
+        own, n = Lattices([word], self.vocabulary), len(word) + 1
+        arcs: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        for b, e, p in zip(own.begin.tolist(), own.end.tolist(), own.piece.tolist()):
+            arcs[e].append((b, p))
         logs = [0.0]
-        for own in arcs:
-            a = sum(alpha[b] * w[p] * math.exp(logs[b] - total) for b, p in own)
-            top = float(a.max())
-            total += math.log(top)
-            alpha.append(a / top)
-            logs.append(total)
-            scale.append(math.log(top))
-        return alpha, logs
-
-    def log_probability(self, word: str) -> np.ndarray:
-        alpha, logs = self.forward(self.lattice(word))
-        return np.log(np.maximum(alpha[-1], 1e-300)) + logs[-1]
-
-    def expected(self, word: str, language: int) -> dict[int, float]:
-        """How often each piece is expected in the word, over all segmentations, in one language."""
-        arcs, w = self.lattice(word), self.weights[:, language]
-        n = len(arcs)
-        alpha, logs = [1.0], [0.0]
-        for own in arcs:
-            a = sum(alpha[b] * w[p] * math.exp(logs[b] - logs[-1]) for b, p in own)
-            alpha.append(1.0)
-            logs.append(logs[-1] + math.log(a))
-        beta = [0.0] * (n + 1)  # logarithms
-        into: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        for end, own in enumerate(arcs, 1):
-            for b, p in own:
-                into[b].append((end, p))
-        for b in range(n - 1, -1, -1):
-            terms = [math.log(w[p]) + beta[e] for e, p in into[b]]
-            top = max(terms, default=-math.inf)
-            beta[b] = top + math.log(sum(math.exp(t - top) for t in terms)) if terms else -math.inf
-        out: dict[int, float] = {}
-        for end, own in enumerate(arcs, 1):
-            for b, p in own:
-                if beta[end] > -math.inf:
-                    out[p] = out.get(p, 0.0) + math.exp(min(0.0, logs[b] + math.log(w[p]) + beta[end] - logs[-1]))
-        return out
-
-
-class WordScores(dict):
-    """log_probability of the words that were asked for, emptied when there are too many."""
+        for e in range(1, n + 1):
+            top = max(logs[b] for b, _ in arcs[e])
+            logs.append(top + math.log(sum(self.weights[p, language] * math.exp(logs[b] - top) for b, p in arcs[e])))
+        return arcs, logs
+
+    def add_expected(self, words: list[str], languages: list[int], counts: list[int], sums: np.ndarray) -> None:
+        """Adds to sums[piece, language] how often each piece is expected, over all segmentations of all words."""
+        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+        for at in range(0, len(short), 4096):
+            index = short[at : at + 4096]
+            own = Lattices([words[i] for i in index], self.vocabulary)
+            language, n = np.array([languages[i] for i in index]), np.array([counts[i] for i in index], dtype=float)
+            weights, rows = self.raised(own, language), np.arange(len(index))
+            alpha, beta = np.zeros((2, len(index), SHORT + 2))
+            alpha[:, 0] = 1.0
+            beta[rows, own.lengths] = 1.0
+            own.sweep(alpha, weights, True)
+            own.sweep(beta, weights, False)
+            share = alpha[own.word, own.begin] * weights * beta[own.word, own.end] / alpha[rows, own.lengths][own.word]
+            np.add.at(sums, (own.piece, language[own.word]), share * n[own.word])
+        for i, word in enumerate(words):
+            if len(word) > SHORT:
+                self._add_long(word, languages[i], counts[i], sums)
+
+    def _add_long(self, word: str, language: int, count: int, sums: np.ndarray) -> None:
+        arcs, alpha = self.scaled(word, language)
+        beta = [-math.inf] * len(alpha)
+        beta[-1] = 0.0
+        for e in range(len(alpha) - 1, 0, -1):
+            for b, p in arcs[e]:
+                through = math.log(self.weights[p, language]) + beta[e]
+                sums[p, language] += count * math.exp(min(0.0, alpha[b] + through - alpha[-1]))
+                high, low = max(beta[b], through), min(beta[b], through)
+                beta[b] = high + math.log1p(math.exp(low - high))
+
+
+class WordScores:
+    """Sums of the words' logarithms; keeps those of recent words, up to a number that bounds the memory."""
 
     def __init__(self, model: Model):
-        self.model = model
-
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) >= CACHE:
-            self.clear()
-        v = self[word] = self.model.log_probability(word)
-        return v
+        self.model, self.most = model, max(10_000, min(CACHE, 20_000_000 // max(1, len(model.languages))))
+        self.row: dict[str, int] = {}
+        self.table = np.empty((0, len(model.languages)))
+
+    def sums(self, texts: list[list[str]]) -> list[np.ndarray]:
+        new = list(dict.fromkeys(w for words in texts for w in words if w not in self.row))
+        if self.row and len(self.row) + len(new) > self.most:
+            self.row, self.table = {}, self.table[:0]
+            new = list(dict.fromkeys(w for words in texts for w in words))
+        for w in new:
+            self.row[w] = len(self.row)
+        if new:
+            if len(self.row) > len(self.table):
+                grown = np.empty((max(len(self.row), 2 * len(self.table)), self.table.shape[1]))
+                grown[: len(self.table)] = self.table
+                self.table = grown
+            self.table[len(self.row) - len(new) : len(self.row)] = self.model.log_probabilities(new)
+        return [self.table[[self.row[w] for w in words]].sum(axis=0) for words in texts]
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,10 +252,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", rounds: int =
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, sums = shared.value, np.zeros((len(number) + 1, len(index)))
             for batch in batches:
-                for k, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n"))):
-                    i = index[k]
-                    for piece, x in own.expected(word, i).items():
-                        sums[piece, i] += n * x
+                langs, texts, counts = (batch.column(c).to_pylist() for c in ("lang", "word", "n"))
+                own.add_expected(texts, [index[k] for k in langs], counts, sums)
             at = np.nonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(sums[at], pa.float64())], names=["piece", "lang", "n"])
 
@@ -199,18 +274,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         scores = WordScores(own)
         for batch in batches:
             pred, score, fit = [], [], []
-            for body in batch.column(columns.index(text)).to_pylist():
-                words = words_of(body)
-                if not words or not own.languages:
-                    pred.append("und"), score.append(0.0), fit.append(None)
-                    continue
-                logs = np.zeros(len(own.languages))
-                for at in range(0, len(words), 4096):
-                    logs += np.sum([scores[w] for w in words[at : at + 4096]], axis=0)
-                post = logs + own.priors
-                best = int(np.argmax(post))
-                pred.append(own.languages[best]), score.append(float(1 / np.exp(post - post[best]).sum()))
-                fit.append(float(logs[best] / sum(map(len, words))))
+            bodies = batch.column(columns.index(text)).to_pylist()
+            for at in range(0, len(bodies), 100):
+                texts = [words_of(x) for x in bodies[at : at + 100]]
+                for words, logs in zip(texts, scores.sums(texts)):
+                    if not words or not own.languages:
+                        pred.append("und"), score.append(0.0), fit.append(None)
+                        continue
+                    post = logs + own.priors
+                    best = int(np.argmax(post))
+                    pred.append(own.languages[best]), score.append(float(1 / np.exp(post - post[best]).sum()))
+                    fit.append(float(logs[best] / sum(map(len, words))))
             more = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(fit, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*columns, *names])
 
