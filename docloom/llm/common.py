@@ -90,38 +90,45 @@ def let(value: Column, body) -> Column:
 
 
 BLOCK = 256
-SPANS = "array<struct<s:int,e:int,m:string>>"
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str, before: int = 0, after: int = 0) -> Column:
     """Leftmost non-overlapping matches of a pattern that never matches nothing: array<struct<s,e,m>>.
 
     `s` and `e` are code points, end exclusive. Java's matcher gives the matches and, by split, the gaps between
     them; running lengths of both, first by blocks and then within them, give the places without quadratic copying.
+    With `before` or `after`, fields of these names have so many characters of the gaps around the match.
     """
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(text, pattern, -1)
+    kind = f"array<struct<s:int,e:int,m:string{',before:string' if before else ''}{',after:string' if after else ''}>>"
 
     def add(acc: Column, x: Column) -> Column:
         end = acc["at"] + x["g"] + F.char_length(x["m"])
-        span = F.struct((acc["at"] + x["g"]).alias("s"), end.alias("e"), x["m"].alias("m"))
+        more = ([x["before"].alias("before")] if before else []) + ([x["after"].alias("after")] if after else [])
+        span = F.struct((acc["at"] + x["g"]).alias("s"), end.alias("e"), x["m"].alias("m"), *more)
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     def step(acc: Column, n: Column) -> Column:
         return F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
 
     def place(found: Column) -> Column:
-        pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("g")))
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), lambda b: F.slice(pairs, b * BLOCK + 1, BLOCK))
-        return let(blocks, placed)
+        return let(F.split(text, pattern, -1), lambda gaps: let(F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g"))), lambda both: blocked(gaps, both)))
+
+    def blocked(gaps: Column, both: Column) -> Column:
+        def pair(x: Column, i: Column) -> Column:
+            more = ([F.right(x["g"], F.lit(before)).alias("before")] if before else []) + ([F.left(F.get(gaps, i + 1), F.lit(after)).alias("after")] if after else [])
+            return F.struct(x["m"].alias("m"), F.char_length(x["g"]).alias("g"), *more)
+
+        blocks = lambda pairs: F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda b: F.slice(pairs, b * BLOCK + 1, BLOCK))
+        return let(let(F.transform(both, pair), blocks), placed)
 
     def placed(blocks: Column) -> Column:
         sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["g"] + F.char_length(x["m"])))
         starts = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
-        inner = lambda b, at: F.aggregate(b, F.struct(at.alias("at"), F.array().cast(SPANS).alias("out")), add, lambda acc: acc["out"])
+        inner = lambda b, at: F.aggregate(b, F.struct(at.alias("at"), F.array().cast(kind).alias("out")), add, lambda acc: acc["out"])
         return F.flatten(F.zip_with(blocks, starts, inner))
 
-    return F.when(text.rlike(pattern), let(found, place)).otherwise(F.array().cast(SPANS))
+    return F.when(text.rlike(pattern), let(found, place)).otherwise(F.array().cast(kind))
 
 
 def joined(spans: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import decontamination, fingerprints, languages, neardup, packing, secrets, sharding, tokencounts
+from docloom.llm import decontamination, fingerprints, languages, neardup, packing, pii, secrets, sharding, tokencounts
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op10_token_counts": tokencounts.op10_token_counts,
         "op9_language_id": languages.op9_language_id,
         "op6_near_dedup": neardup.op6_near_dedup,
+        "op7_pii": pii.op7_pii,
     }
 
 
