@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import decontamination, fingerprints, languages, neardup, packing, pii, secrets, sharding, tokencounts
+from docloom.llm import decontamination, fingerprints, languages, linededup, neardup, packing, pii, secrets, sharding, tokencounts
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op9_language_id": languages.op9_language_id,
         "op6_near_dedup": neardup.op6_near_dedup,
         "op7_pii": pii.op7_pii,
+        "op3_line_dedup": linededup.op3_line_dedup,
     }
 
 
