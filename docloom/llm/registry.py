@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from docloom.llm import decontamination, fingerprints, languages, linededup, neardup, packing, pii, secrets, sharding, tokencounts
 
 
@@ -9,14 +10,15 @@ def queries() -> dict:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
         "op2_fingerprint": fingerprints.op2_fingerprint,
+        "op3_line_dedup": linededup.op3_line_dedup,
         "op4_sharding": sharding.op4_sharding,
         "op5_packing": packing.op5_packing,
-        "op8_decontamination": decontamination.op8_decontamination,
-        "op10_token_counts": tokencounts.op10_token_counts,
-        "op9_language_id": languages.op9_language_id,
         "op6_near_dedup": neardup.op6_near_dedup,
         "op7_pii": pii.op7_pii,
-        "op3_line_dedup": linededup.op3_line_dedup,
+        "op8_decontamination": decontamination.op8_decontamination,
+        "op9_language_id": languages.op9_language_id,
+        "op10_token_counts": tokencounts.op10_token_counts,
+        "pipeline": corpus_pipeline.run,
     }
 
 
