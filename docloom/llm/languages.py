@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,7 +38,7 @@ MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 ROUNDS = 2
 LANGUAGES = 256
-CACHE = 300_000
+CACHE = 600_000
 SHORT = 30
 RISE = 50.0
 SMOOTH = 0.1  # added to every expected count
@@ -61,44 +62,71 @@ def pieces(name: str = VOCABULARY) -> tuple[dict[str, int], int]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w for w in LETTERS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
+    if not text:
+        return []
+    words = LETTERS.findall(text.lower())
+    return words if "".join(words).isalpha() else [w for w in words if any(map(str.isalpha, w))]
+
+
+@dataclass
+class Trie:
+    """The pieces' characters as a table of steps: step[node, dense[c]] is the next node, 0 if there is none; 1 is the root.
+
+    Only characters of pieces of two or more have a column; `alone[c]` is the piece of a character by itself.
+    """
+
+    dense: np.ndarray
+    step: np.ndarray
+    piece: np.ndarray
+    alone: np.ndarray
 
 
 @lru_cache(maxsize=2)
-def trie(name: str = VOCABULARY) -> dict:
-    """The pieces by their characters; a piece's number is under the empty string."""
-    root: dict = {}
-    for piece, number in pieces(name)[0].items():
-        node = root
-        for c in piece:
-            node = node.setdefault(c, {})
-        node[""] = number
-    return root
+def trie(name: str = VOCABULARY) -> Trie:
+    number, _ = pieces(name)
+    longer = [p for p in number if len(p) > 1]
+    column = {c: i for i, c in enumerate(sorted(set("".join(longer))), 1)}
+    nodes: dict[tuple[int, int], int] = {}
+    ends = {}
+    for p in longer:
+        node = 1
+        for c in p:
+            node = nodes.setdefault((node, column[c]), len(nodes) + 2)
+        ends[node] = number[p]
+    own = Trie(np.zeros(0x110000, dtype=np.int16), np.zeros((len(nodes) + 2, len(column) + 1), dtype=np.int32), np.full(len(nodes) + 2, -1, dtype=np.int32), np.full(0x110000, len(number), dtype=np.int32))
+    own.dense[[ord(c) for c in column]] = list(column.values())
+    for (node, c), following in nodes.items():
+        own.step[node, c] = following
+    own.piece[list(ends)] = list(ends.values())
+    for p, i in number.items():
+        if len(p) == 1:
+            own.alone[ord(p)] = i
+    return own
 
 
 class Lattices:
     """All ways to cut some words (after a mark) into pieces, as arrays of arcs: word, begin, end, piece."""
 
     def __init__(self, words: list[str], name: str):
-        root, unknown = trie(name), len(pieces(name)[0])
-        arcs: list[tuple[int, int, int, int]] = []
-        for i, word in enumerate(words):
-            s = MARK + word
-            n = len(s)
-            for b in range(n):
-                node, single = root, True
-                for e in range(b, n):
-                    node = node.get(s[e])
-                    if node is None:
-                        break
-                    piece = node.get("")
-                    if piece is not None:
-                        arcs.append((i, b, e + 1, piece))
-                        single = single and e > b
-                if single:
-                    arcs.append((i, b, b + 1, unknown))
-        self.lengths = np.array([len(w) + 1 for w in words])
-        self.word, self.begin, self.end, self.piece = np.array(arcs, dtype=np.int64).reshape(-1, 4).T
+        own = trie(name)
+        self.lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
+        codes = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le"), dtype=np.uint32)
+        word = np.repeat(np.arange(len(words)), self.lengths)
+        first = np.cumsum(self.lengths) - self.lengths
+        begin = np.arange(len(codes)) - first[word]
+        found = [(word, begin, begin + 1, own.alone[codes])]
+        dense, at, node = own.dense[codes], np.arange(len(codes)), np.ones(len(codes), dtype=np.int32)
+        left = self.lengths[word] - begin  # characters from here to the word's end
+        for depth in range(len(codes)):
+            go = left[at] > depth
+            at, node = at[go], node[go]
+            node = own.step[node, dense[at + depth]]
+            at, node = at[node > 0], node[node > 0]
+            if not len(at):
+                break
+            ends = own.piece[node] >= 0
+            found.append((word[at[ends]], begin[at[ends]], begin[at[ends]] + depth + 1, own.piece[node[ends]]))
+        self.word, self.begin, self.end, self.piece = (np.concatenate(x) for x in zip(*found))
 
     def sweep(self, values: np.ndarray, weights: np.ndarray, forward: bool) -> np.ndarray:
         """Fills values[word, place] with the sums over arcs that end (or, backward, begin) there, one place at a time."""
@@ -217,6 +245,17 @@ class WordScores:
         return [self.table[[self.row[w] for w in words]].sum(axis=0) for words in texts]
 
 
+_SCORES: dict[str, WordScores] = {}
+
+
+def word_scores(key: str, model: Model) -> WordScores:
+    """One for each Python worker, which keeps it from task to task of the same query."""
+    if key not in _SCORES:
+        _SCORES.clear()
+        _SCORES[key] = WordScores(model)
+    return _SCORES[key]
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(counts: Counter) -> pa.RecordBatch:
         keys = list(counts)
@@ -267,11 +306,11 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", rounds: int =
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of docs and lang_pred, score, and lang_fit: the mean logarithm a letter in the predicted language."""
     columns, names = docs.columns, fresh(docs, "lang_pred", "score", "lang_fit")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        scores = WordScores(own)
+        scores = word_scores(key, own)
         for batch in batches:
             pred, score, fit = [], [], []
             bodies = batch.column(columns.index(text)).to_pylist()
