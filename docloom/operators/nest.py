@@ -22,11 +22,16 @@ def _joined(parent: DataFrame, child: DataFrame, pk: list[str]) -> DataFrame:
     return parent.join(child, on, "left").drop(*[f"__k{i}" for i in range(len(pk))])
 
 
+def _in_order(items: Column) -> Column:
+    """By `at` alone, since items may have fields (VARIANT) without an order."""
+    return F.array_sort(items, lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
+
+
 def nest_many(parent: DataFrame, child: DataFrame, pk: list[str], fk: list[str], into: str, position: list[str], fields: list[str] | None = None) -> DataFrame:
     """1:N: the children as an array in the order of `position`; empty if there is none or the key is null."""
     own = fields or [c for c in child.columns if c not in fk]
     item = F.struct(F.struct(*map(name, position)).alias("at"), F.struct(*map(name, own)).alias("item"))
-    lists = child.dropna(subset=fk).groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(_keys(fk))]).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"]).alias(into))
+    lists = child.dropna(subset=fk).groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(_keys(fk))]).agg(F.transform(_in_order(F.collect_list(item)), lambda x: x["item"]).alias(into))
     kind = lists.schema[into].dataType
     return _joined(parent, lists, pk).withColumn(into, F.coalesce(name(into), F.array().cast(kind)))
 
@@ -47,7 +52,7 @@ def dissolve(host: DataFrame, links: DataFrame, pk: list[str], host_fk: list[str
     """M:N: the ids of the other side, in the order of `position`; composite ids are joined with `:`."""
     other = F.concat_ws(":", *[k.cast("string") for k in _keys(other_fk)])
     item = F.struct(F.struct(*map(name, position)).alias("at"), other.alias("id"))
-    lists = links.dropna(subset=[*host_fk, *other_fk]).groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(_keys(host_fk))]).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["id"]).alias(into))
+    lists = links.dropna(subset=[*host_fk, *other_fk]).groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(_keys(host_fk))]).agg(F.transform(_in_order(F.collect_list(item)), lambda x: x["id"]).alias(into))
     return _joined(host, lists, pk).withColumn(into, F.coalesce(name(into), F.array().cast("array<string>")))
 
 
