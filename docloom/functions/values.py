@@ -70,6 +70,16 @@ def literal_key(literal) -> Column:
 COMPARE = {"$gt": lambda a, b: a > b, "$gte": lambda a, b: a >= b, "$lt": lambda a, b: a < b, "$lte": lambda a, b: a <= b}
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` written and evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def checked(ok: Column, message: str, value: Column) -> Column:
+    """`value` where `ok` is true; elsewhere an error, which no optimiser rule folds away."""
+    return F.when(F.assert_true(F.coalesce(ok, F.lit(False)), F.lit(message)).isNull(), value)
+
+
 def _equals(literal):
     return lambda value: value.equals(literal)
 

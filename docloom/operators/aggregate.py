@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.errors import BadPipeline, LimitExceeded
-from docloom.functions.values import Missing, Root, Typed, Value, name, segments
+from docloom.functions.values import Missing, Root, Typed, Value, checked, name, segments
 from docloom.plans import filters
 
 MOST_ACCUMULATORS = 16
@@ -103,8 +103,7 @@ def aggregate(df: DataFrame, pipeline, root: Root | None = None, limits: Limits
         elif isinstance(value, Missing):
             out = rows.groupBy(F.lit(None).cast("string").alias("_id")).agg(*sums).select("_id", *map(name, names))
         else:
-            bad = F.raise_error(F.lit("a group key is a scalar or null"))
-            key = F.when(value.scalar(), value.key()).otherwise(F.from_json(bad, "rank tinyint, num double, str string"))
+            key = checked(value.scalar(), "a group key is a scalar or null", value.key())
             first = F.min_by(value.column(), name(root.id_column)) if root.id_column in df.columns else F.any_value(value.column())
             out = rows.groupBy(key.alias("_key")).agg(first.alias("_id"), *sums).orderBy("_key").select("_id", *map(name, names))
     if limits.groups is not None and out.limit(limits.groups + 1).count() > limits.groups:

@@ -95,7 +95,7 @@ def project(df: DataFrame, projection, root: Root) -> DataFrame:
     kind, paths = own
     system = [c for c in (root.id_column, "_rev") if c in df.columns]
     if root.body:
-        tree = _tree([p for p in paths if p != "_id"])
+        tree = _tree(paths if kind == "exclude" else ["_id", *paths])
         body = name(root.body)
         new = _variant_include(body, tree) if kind == "include" else _variant_exclude(body, tree)
         keep = [c for c in system if not (kind == "exclude" and "_id" in paths and c == root.id_column)]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.errors import BadUpdate
-from docloom.functions.values import Dynamic, Element, Typed
+from docloom.functions.values import Dynamic, Element, Typed, checked, let
 
 OPERATORS = ("$inc", "$push", "$set", "$setOnInsert", "$unset")
 MOST_SEGMENTS, MOST_DEPTH = 64, 256
@@ -88,7 +88,7 @@ def element(segment: str) -> tuple[str, object]:
 
 def fail(message: str, kind: str) -> Column:
     """A column of any type that raises where it is reached."""
-    return F.from_json(F.raise_error(F.lit(message)).cast("string"), f"v {kind}")["v"]
+    return checked(F.lit(False), message, F.lit(None).cast(kind))
 
 
 # --- typed columns
@@ -162,7 +162,7 @@ def _typed_element(column, kind, segment, rest, value) -> Column:
     new = lambda e: typed(e, kind.elementType, rest, "$set", value)
     changed = F.transform(column, lambda e: F.when(own(e), new(e)).otherwise(e))
     hits = F.size(F.filter(column, own))
-    return F.when(F.coalesce(hits, F.lit(0)) == 1, changed).otherwise(F.from_json(F.raise_error(F.lit("not exactly one element matches")).cast("string"), kind))
+    return checked(hits == 1, "not exactly one element matches", changed)
 
 
 # --- VARIANT bodies
@@ -185,6 +185,10 @@ EMPTY = "map<string,variant>"
 
 def dynamic(column: Column, path: tuple[str, ...], op: str, value) -> Column:
     """The new VARIANT after one operator at the path below it; a missing column counts as missing."""
+    return let(column, lambda c: _dynamic(c, path, op, value))
+
+
+def _dynamic(column: Column, path: tuple[str, ...], op: str, value) -> Column:
     own = Dynamic(column)
     if path:
         head, rest = path[0], path[1:]
@@ -198,7 +202,7 @@ def dynamic(column: Column, path: tuple[str, ...], op: str, value) -> Column:
             return F.when(below.isNotNull(), F.to_variant_object(_with_key(fields, head, dynamic(below, rest, op, value)))).otherwise(column)
         new = dynamic(below, rest, op, value)
         made = F.to_variant_object(_with_key(F.coalesce(fields, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))), head, new))
-        return F.when(column.isNull() | fields.isNotNull(), made).otherwise(F.parse_json(F.raise_error(F.lit(f"{head!r} is below a value that is no object")).cast("string")))
+        return checked(column.isNull() | fields.isNotNull(), f"{head!r} is below a value that is no object", made)
     if op in ("$set", "$setOnInsert"):
         return variant_literal(value)
     if op == "$inc":
@@ -210,7 +214,7 @@ def dynamic(column: Column, path: tuple[str, ...], op: str, value) -> Column:
     items = F.when(own.is_type("array"), F.try_variant_get(column, "$", "array<variant>"))
     made = F.coalesce(items, F.array().cast("array<variant>"))
     pushed = as_variant(F.concat(made, F.array(variant_literal(value))))
-    return F.when(column.isNull() | items.isNotNull(), pushed).otherwise(F.parse_json(F.raise_error(F.lit("$push to a value that is no array")).cast("string")))
+    return checked(column.isNull() | items.isNotNull(), "$push to a value that is no array", pushed)
 
 
 def _dynamic_element(column: Column, segment: str, rest: tuple[str, ...], value) -> Column:
@@ -219,7 +223,7 @@ def _dynamic_element(column: Column, segment: str, rest: tuple[str, ...], value)
     own = lambda e: F.coalesce(Element(Dynamic(e)).get(field).equals(x) & Element(Dynamic(e)).get(field).present(), F.lit(False))
     changed = F.transform(items, lambda e: F.when(own(e), dynamic(e, rest, "$set", value)).otherwise(e))
     hits = F.size(F.filter(items, own))
-    return F.when(F.coalesce(hits, F.lit(0)) == 1, as_variant(changed)).otherwise(F.parse_json(F.raise_error(F.lit("not exactly one element matches")).cast("string")))
+    return checked(hits == 1, "not exactly one element matches", as_variant(changed))
 
 
 def apply_typed(columns: dict[str, tuple[Column, T.DataType]], ops: list[Op], inserting: bool = False) -> dict[str, Column]:
