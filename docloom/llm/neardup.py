@@ -8,15 +8,18 @@ every place its rank; coordinate k is the least rank of the shingles' places shi
 side by side, and two permutations give the whole signature. BANDS bands of ROWS coordinates are the buckets: a pair at
 the limit (0.85) shares none of them with a chance of (1 - 0.85**5)**30 = 2e-8.
 
-A bucket is never expanded into all its pairs. In each round, every document of a bucket that still holds documents of different
-components is paired with a pivot, and with the others of its small chunk; links that the full sets confirm
-merge components, and buckets all of one component drop out:
-- the first pivot is the document with most bucket mates over all bands: the middle of a group of copies, to which all
-  link that link to each other through what the group shares; later rounds take others at random;
-- from the second round on, chunks of about CHUNK documents, dealt anew each round, hold every pair of a small bucket,
-  and of a large one pairs that the pivots don't join. Documents that share passages of their own share small buckets.
-Rounds end when one brings no merger, or after ROUNDS. Before full sets are compared, pairs whose signatures rule the
-limit out (by more than six standard deviations) are left out.
+A bucket is never expanded into all its pairs. In each round, the documents of a bucket that still holds more than one
+component are compared with a pivot or with the others of a small chunk; links that the full sets confirm merge
+components, and buckets all of one component drop out:
+- in the first round, the pivot is the document with most bucket mates over all bands: the middle of a group of copies,
+  to which all link that link to each other through what the group shares;
+- in later rounds, chunks of about CHUNK documents or CHUNK_BYTES bytes, dealt anew for each round and band, hold every
+  pair of a small bucket, and of a large one pairs that the pivots don't join. Documents that share passages of their
+  own share small buckets. In a chunk, all pairs' intersections are one product of small tables, and only links that
+  join components leave it.
+There are ROUNDS rounds. A pair of a large bucket that alone joins two components is met in a chunk of one of about 13
+common bands in each of the later rounds; the README has measured numbers. Before the full sets of a pivot's pairs are
+compared, pairs whose signatures rule the limit out (by more than six standard deviations) are left out.
 
 Components are merged by contraction: each component joins its neighbour of least random rank, over and over, until no
 edge between different ones is left; the result is the smallest doc_id. Rows are documents: those of one doc_id have
@@ -39,11 +42,11 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import durable, q, read
+from docloom.llm.common import durable, q, read, sliced, worker_cache
 
 BANDS, ROWS = 30, 5
 CIRCLE = 20
-CHUNK = 16
+CHUNK, CHUNK_BYTES = 256, 400_000  # documents and bytes of text, about
 ROUNDS = 4
 WIDTH, LIMIT = 5, 80  # words in a shingle, per cent
 CACHE = 300_000
@@ -92,52 +95,94 @@ def signature(own: np.ndarray, coordinates: int = BANDS * ROWS) -> np.ndarray:
 
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                piece = batch.slice(at, 1000)
-                digests, sizes, bands, sketches = [], [], [], []
-                for text in piece.column("text").to_pylist():
-                    words = words_of(text)
-                    own = shingles(words, width, hashes)
-                    sizes.append(len(own))
-                    if not len(own):
-                        digests.append(None), bands.append(None), sketches.append(None)
-                        continue
-                    digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    s = signature(own)
-                    keys = [xxhash.xxh3_64_intdigest(row.tobytes(), seed=i) - (1 << 63) for i, row in enumerate(s.reshape(BANDS, ROWS))]
-                    bands.append(keys), sketches.append((s * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), piece.column("text")],
-                    names=["id", "digest", "n", "bands", "sketch", "text"],
-                )
+        hashes = worker_cache("shingle words", Hashes)
+        for piece in sliced(batches):
+            digests, sizes, bands, sketches = [], [], [], []
+            for text in piece.column("text").to_pylist():
+                words = words_of(text)
+                own = shingles(words, width, hashes)
+                sizes.append(len(own))
+                if not len(own):
+                    digests.append(None), bands.append(None), sketches.append(None)
+                    continue
+                digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                s = signature(own)
+                keys = [xxhash.xxh3_64_intdigest(row.tobytes(), seed=i) - (1 << 63) for i, row in enumerate(s.reshape(BANDS, ROWS))]
+                bands.append(keys), sketches.append((s * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), piece.column("text")],
+                names=["id", "digest", "n", "bands", "sketch", "text"],
+            )
 
     return run
 
 
+def _least(limit: int) -> float:
+    """Fewer equal sketch bytes than this rule the limit out, by more than six standard deviations."""
+    k, p = BANDS * ROWS, limit / 100
+    return k * (p - 6 * (p * (1 - p) / k) ** 0.5)
+
+
 def _alike(limit: int):
     """Lets the pairs pass whose sketches don't rule the limit out."""
-    k = BANDS * ROWS
-    p = limit / 100
-    least = k * (p - 6 * (p * (1 - p) / k) ** 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, k) for c in ("sketch_a", "sketch_b"))
-                keep = pa.array((a == b).sum(axis=1) >= least)
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS) for c in ("sketch_a", "sketch_b"))
+                keep = pa.array((a == b).sum(axis=1) >= _least(limit))
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
 
+def _spanning(comp: list[int], linked: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Of links between places, those that join components not joined yet."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            x = y
+        return x
+
+    for i, j in linked:
+        a, b = top(comp[i]), top(comp[j])
+        if a != b:
+            up[a] = b
+            yield i, j
+
+
+def _chunk_links(width: int, limit: int):
+    """Of each row's nodes, links that join their components, from the full sets of all pairs.
+
+    The sets are rows of a table over the chunk's shingles; its product with itself has all intersections' sizes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = worker_cache("shingle words", Hashes)
+        for batch in sliced(batches, 10):
+            left, right = [], []
+            for nodes, comps, texts in zip(*(batch.column(c).to_pylist() for c in ("nodes", "comps", "texts"))):
+                sets = [shingles(words_of(t), width, hashes) for t in texts]
+                sizes = np.array([len(x) for x in sets])
+                _, column = np.unique(np.concatenate(sets), return_inverse=True)
+                table = np.zeros((len(sets), column.max() + 1), dtype=np.float32)
+                table[np.repeat(np.arange(len(sets)), sizes), column] = 1
+                both = (table @ table.T).astype(np.int64)
+                linked = np.argwhere(np.triu(100 * both >= limit * (sizes[:, None] + sizes[None, :] - both), 1))
+                for i, j in _spanning(comps, map(tuple, linked.tolist())):
+                    left.append(min(nodes[i], nodes[j])), right.append(max(nodes[i], nodes[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _confirm(width: int, limit: int):
     """Rows of one pivot `a` with its text and texts that may be linked to it: lets the linked pairs pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, mine = Hashes(), None, None
-        for batch in batches:
+        hashes, last, mine = worker_cache("shingle words", Hashes), None, None
+        for batch in sliced(batches, 200):
             a, b, left, right = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
             keep = []
             for i in range(len(a)):
@@ -165,32 +210,36 @@ def merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _pairs(buckets: DataFrame, labels: DataFrame, turn: int, limit: int) -> DataFrame:
-    """Distinct (a, b) of different components to try: members with their bucket's pivot and, after the first turn, their chunk's others."""
-    now = buckets.join(labels, "node")
-    best = F.col("score") if turn == 0 else F.xxhash64("node", F.lit(turn))
+def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets with more than one component, with their bucket's size and pivot."""
+    now, best = buckets.join(labels, "node"), F.col("score")
     state = now.groupBy("band", "key").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"), F.max_by("node", best).alias("pivot"), F.max_by("comp", best).alias("pivot_comp"), F.max_by("n", best).alias("pivot_n")
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes_all"), F.max_by("node", best).alias("pivot"), F.max_by("comp", best).alias("pivot_comp"), F.max_by("n", best).alias("pivot_n")
     )
-    state = state.filter("low <> high").select("band", "key", "size", "pivot", "pivot_comp", "pivot_n")
-    open_ = now.join(state, ["band", "key"])
-    near = lambda m, n: 100 * F.least(m, n) >= limit * F.greatest(m, n)  # noqa: E731  sets of very different sizes are never alike
-    out = open_.filter((F.col("comp") != F.col("pivot_comp")) & near(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    if turn:
-        chunk = F.pmod(F.xxhash64("node", "band", F.lit(turn)), F.ceil(F.col("size") / CHUNK))
-        chunks = open_.groupBy("band", "key", chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("node", "comp", "n"))).alias("own"))
-        own = F.col("own")
-        mates = lambda x, i: F.filter(F.slice(own, i + 2, F.size(own)), lambda y: (y["comp"] != x["comp"]) & near(x["n"], y["n"]))
-        each = F.flatten(F.transform(own, lambda x, i: F.transform(mates(x, i), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
-        out = out.unionByName(chunks.filter(F.size("own") > 1).select(F.explode(each).alias("p")).select("p.a", "p.b"))
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _links(pairs: DataFrame, sets: DataFrame, width: int, limit: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have the similarity."""
-    side = lambda df, of, *columns: df.join(sets.select(F.col("node").alias(of), *[F.col(c).alias(f"{c}_{of}") for c in columns]), of)
-    alike = side(side(pairs, "a", "sketch"), "b", "sketch").mapInArrow(_alike(limit), "a long, b long")
-    return side(side(alike, "b", "text"), "a", "text").mapInArrow(_confirm(width, limit), "a long, b long")
+    state = state.filter("low <> high").drop("low", "high")
+    return now.join(state, ["band", "key"])
+
+
+def _star_pairs(buckets: DataFrame, labels: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
+    """Distinct (a, b) to try: each member with its bucket's pivot."""
+    members = _open(buckets, labels)
+    near = 100 * F.least("n", "pivot_n") >= limit * F.greatest("n", "pivot_n")  # sets of very different sizes are never alike
+    stars = members.filter((F.col("comp") != F.col("pivot_comp")) & near).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    return _side(_side(stars, sets, "a", "sketch"), sets, "b", "sketch").mapInArrow(_alike(limit), "a long, b long")
+
+
+def _mate_links(buckets: DataFrame, labels: DataFrame, sets: DataFrame, turn: int, width: int, limit: int) -> DataFrame:
+    """Links (a, b) within chunks of the open buckets' members."""
+    members = _open(buckets, labels)
+    chunks = F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("bytes_all") / CHUNK_BYTES))
+    own = members.select("band", "key", F.pmod(F.xxhash64("node", "band", F.lit(turn)), chunks).alias("chunk"), "node", "comp").join(sets.select("node", "text"), "node")
+    lists = own.groupBy("band", "key", "chunk").agg(F.collect_list(F.struct("node", "comp", "text")).alias("own"))
+    lists = lists.filter(F.size("own") > 1).select(F.col("own.node").alias("nodes"), F.col("own.comp").alias("comps"), F.col("own.text").alias("texts"))
+    return lists.mapInArrow(_chunk_links(width, limit), "a long, b long").distinct()
+
+
+def _side(pairs: DataFrame, sets: DataFrame, of: str, column: str) -> DataFrame:
+    return pairs.join(sets.select(F.col("node").alias(of), F.col(column).alias(f"{column}_{of}")), of)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, limit: int = LIMIT) -> DataFrame:
@@ -200,8 +249,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = durable(base.mapInArrow(_sign(width), f"id {kind}, digest binary, n long, bands array<long>, sketch binary, text string"))
     known = signed.filter("digest IS NOT NULL AND id IS NOT NULL")
     reps = durable(known.groupBy("digest").agg(F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
-    rows = known.select("digest", "id", "n", "bands").join(reps, (known["digest"] == reps["digest"]) & (F.col("id") == F.col("rep"))).select("node", "n", "bands").dropDuplicates(["node"])
-    rows = durable(rows.select("node", "n", F.posexplode("bands").alias("band", "key")))
+    rows = known.select("digest", "id", "n", F.octet_length("text").alias("bytes"), "bands").join(reps, (known["digest"] == reps["digest"]) & (F.col("id") == F.col("rep"))).select("node", "n", "bytes", "bands").dropDuplicates(["node"])
+    rows = durable(rows.select("node", "n", "bytes", F.posexplode("bands").alias("band", "key")))
     sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = durable(rows.join(sizes, ["band", "key"]))
     # How many mates a node has over all bands, with a hash below it to tell apart equal ones.
@@ -211,13 +260,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = known.select("digest", "id", "sketch", "text").join(reps, (known["digest"] == reps["digest"]) & (F.col("id") == F.col("rep"))).select("node", "sketch", "text")
     sets = durable(own.join(labels.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     for turn in range(ROUNDS):
-        links = durable(_links(_pairs(buckets, labels, turn, limit), sets, width, limit))
+        if turn:
+            links = _mate_links(buckets, labels, sets, turn, width, limit)
+        else:
+            pairs = _star_pairs(buckets, labels, sets, limit)
+            links = _side(_side(pairs, sets, "b", "text"), sets, "a", "text").mapInArrow(_confirm(width, limit), "a long, b long")
+        links = durable(links)
         edges = links
         for c, to in (("a", "x"), ("b", "y")):
             edges = edges.join(labels.select(F.col("node").alias(c), F.col("comp").alias(to)), c)
         edges = durable(edges.select("x", "y"))
-        if turn and edges.isEmpty():
-            break
         labels = merge(labels, edges)
     comps = labels.join(reps, "node").select("digest", "comp", "rep")
     least = comps.groupBy("comp").agg(F.min("rep").alias("least"))
@@ -230,3 +282,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), width=3, limit=85)
+
+
+SQL = """
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[p : p + 2], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS p FROM d WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 85 * (nx.n + ny.n - i)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+    SELECT doc_id, doc_id AS r FROM d
+    UNION
+    SELECT reach.doc_id, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.r
+)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
