@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op6_near_dedup": neardup.SQL, "op8_decontamination": decontamination.SQL}
