@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import fresh, q, read
+from docloom.llm.common import durable, fresh, q, read, sliced
 
 N = 10
 BLOCK_BYTES = 8 << 20
@@ -118,7 +118,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_i
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = shared.value
-            for batch in batches:
+            for batch in sliced(batches):
                 rows = [windows.hits(t) for t in batch.column(batch.schema.names.index(text)).to_pylist()]
                 more = [pa.array([r[0] for r in rows], pa.int64()), pa.array([sum(r[2]) - sum(r[1]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([sorted(r[3]) for r in rows], pa.list_(pa.string()))]
                 kept = [batch.column(batch.schema.names.index(c)) for c in columns]
@@ -131,8 +131,6 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_i
     first, second = next(blocks), next(blocks, None)
     if second is None:
         return scan(docs, first, docs.columns)
-    from docloom.llm.common import durable
-
     numbered = durable(docs.withColumn(row, F.monotonically_increasing_id()))
     slim = numbered.select(row, q(text))
     found = None
@@ -178,3 +176,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
     found = benchmark_hits(docs, items, text)
     n_hit = found.columns[len(docs.columns) + 1]
     return found.filter(q(n_hit) == 0).select(*[q(c) for c in docs.columns])
+
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+windows AS (
+    SELECT DISTINCT item, k, array_to_string(w[p : p + k - 1], ' ') AS g
+    FROM (SELECT item, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)
+),
+own AS (
+    SELECT doc_id, p, k, array_to_string(w[p : p + k - 1], ' ') AS g
+    FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)
+),
+hits AS (SELECT doc_id, p, own.k, item FROM own JOIN windows ON own.g = windows.g AND own.k = windows.k),
+words AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS pos FROM hits) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+"""

@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import durable, fresh, q, read
+from docloom.llm.common import durable, fresh, q, read, sliced, worker_cache
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 ROUNDS = 2
 LANGUAGES = 256
-CACHE = 600_000
+CACHE = 400_000
 SHORT = 30
 RISE = 50.0
 SMOOTH = 0.1  # added to every expected count
@@ -245,24 +245,13 @@ class WordScores:
         return [self.table[[self.row[w] for w in words]].sum(axis=0) for words in texts]
 
 
-_SCORES: dict[str, WordScores] = {}
-
-
-def word_scores(key: str, model: Model) -> WordScores:
-    """One for each Python worker, which keeps it from task to task of the same query."""
-    if key not in _SCORES:
-        _SCORES.clear()
-        _SCORES[key] = WordScores(model)
-    return _SCORES[key]
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(counts: Counter) -> pa.RecordBatch:
         keys = list(counts)
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
 
     counts: Counter = Counter()
-    for batch in batches:
+    for batch in sliced(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             for word, n in Counter(words_of(text)).items():
                 counts[lang, word] += n
@@ -310,8 +299,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        scores = word_scores(key, own)
-        for batch in batches:
+        scores = worker_cache(key, lambda: WordScores(own))
+        for batch in sliced(batches):
             pred, score, fit = [], [], []
             bodies = batch.column(columns.index(text)).to_pylist()
             for at in range(0, len(bodies), 100):

@@ -19,7 +19,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm.common import fresh, read
+from docloom.llm.common import fresh, read, sliced, worker_cache
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -109,20 +109,14 @@ class WordCounts(dict):
         return n
 
 
-@lru_cache(maxsize=2)
-def word_counts(name: str) -> WordCounts:
-    """One for each Python worker and vocabulary."""
-    return WordCounts(name)
-
-
 def token_counts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """All columns of df and n_words, n_tokens (with unknown words as one each) and n_unknown, all long."""
     names = fresh(df, "n_words", "n_tokens", "n_unknown")
     columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = word_counts(vocabulary)
-        for batch in batches:
+        of = worker_cache(("token counts", vocabulary), lambda: WordCounts(vocabulary))
+        for batch in sliced(batches):
             rows = []
             for body in batch.column(columns.index(text)).to_pylist():
                 counts = [of[w] for w in body.encode().split()] if body else []  # bytes.split knows ASCII white space only
