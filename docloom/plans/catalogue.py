@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one where spark.checkpoint.dir is unset, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "docloom-shared")
+
+
 def orders(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
     return df, Root(df.schema, "o_orderkey")
@@ -504,6 +512,17 @@ def ttl_derive(spark, sf_dir):
     return e.select("event_id", versions.derived_expiry(F.unix_millis(F.col("ts").cast("timestamp")), 3600).alias("expires"))
 
 
+@query("""SELECT user_id AS "_id", event_id AS "_seq", event_type AS op FROM events WHERE event_id > 300""")
+def stream_feed(spark, sf_dir):
+    """The feed after a sequence number as a stream: one run over all files that are there, into Parquet."""
+    schema = table(spark, sf_dir, "events").schema
+    out = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    feed = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).filter("event_id > 300")
+    feed = feed.select(F.col("user_id").alias("_id"), F.col("event_id").alias("_seq"), F.col("event_type").alias("op"))
+    feed.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(feed.schema).parquet(f"{out}/rows")
+
+
 @query("SELECT user_id AS _id, event_id AS _seq FROM events")
 def raw_versions(spark, sf_dir):
     return versions.all_versions(changelog(spark, sf_dir)).select("_id", "_seq")
