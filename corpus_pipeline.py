@@ -31,9 +31,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of five-word shingles' similarity of 0.8 or more the document with the smallest doc_id stays."""
-    groups = neardup.near_duplicates(docs.select("doc_id", "text")).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(groups, F.col("doc_id") == F.col("gone"), "left_anti").select(docs.columns)
+    """Of each group of five-word shingles' similarity of 0.8 or more the document with the smallest doc_id stays.
+
+    Rows of one doc_id stay or go together.
+    """
+    gone = common.fresh(docs, "gone")[0]
+    rows = neardup.near_duplicates(docs.select("doc_id", "text")).filter("doc_id IS NOT NULL")
+    groups = rows.groupBy(F.col("doc_id").alias(gone)).agg(F.bool_or("kept").alias("stays")).filter("NOT stays").select(gone)
+    return docs.join(groups, common.q("doc_id") == common.q(gone), "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
