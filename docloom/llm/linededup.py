@@ -13,7 +13,8 @@ Null text stays null; empty text has one empty line and stays. A document may en
 one document, whose chunks don't go for each other's sake; rows without a doc_id lose their inner repeats only. Repeated
 rows thus stay alike. An empty table gives an empty table; other columns pass through.
 
-Only digests are grouped, with partial counts, so hot chunks meet as one row a partition. Texts are dealt by doc_id
+Only digests are grouped, with partial counts, so hot chunks meet as one row a partition, and where occurrences meet
+the staying chunk, hot ones are dealt over many places. Texts are dealt by doc_id
 once to meet what they may lose, and once more to give the staying chunks' bytes unless these documents' ids
 are few enough (BROADCAST) to be broadcast.
 """
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import durable, fresh, q, read
+from docloom.llm.common import durable, fresh, q, read, sliced, spread_join
 
 WINDOW = 2
 MASK = 0b11  # every fourth line ends a chunk, on average
@@ -75,7 +76,7 @@ def removable(text: str | None) -> Iterator[tuple[bytes, bytes, int, int]]:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         rows, digests = [], []
         for i, text in enumerate(batch.column("text").to_pylist()):
             own = dict.fromkeys(d for d, *_ in removable(text))
@@ -85,7 +86,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         digests, bodies = [], []
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
             own = {d: b for d, b, *_ in removable(text)}
@@ -114,17 +115,18 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     kind = docs.schema[doc_id].dataType.simpleString()
     base = docs.select(q(doc_id).alias("id"), q(text).alias("text"))
     found = durable(base.filter(F.col("id").isNotNull()).mapInArrow(_digests, f"id {kind}, digest binary"))
-    repeated = durable(found.groupBy("digest").agg(F.min("id").alias("stays"), F.max("id").alias("last")).filter("stays < last").select("digest", "stays"))
+    repeated = durable(found.groupBy("digest").agg(F.min("id").alias("stays"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("stays < last").select("digest", "stays", "n"))
     wanted = repeated.groupBy(F.col("stays").alias("id")).agg(F.collect_list("digest").alias("wanted"))  # at most a document's chunks
     if repeated.count() <= BROADCAST:
         wanted = F.broadcast(wanted)
     bodies = durable(base.join(wanted, "id").select("text", "wanted").mapInArrow(_bodies, "digest binary, body binary").dropDuplicates(["digest"]))
-    goes = found.join(repeated, "digest").filter("id <> stays").select("digest", "id").join(bodies, "digest")
+    staying = repeated.join(bodies, "digest")
+    goes = spread_join(found, staying, "digest", "id", "n", found.count()).filter("id <> stays")
     lost = goes.groupBy(F.col("id").alias(id_)).agg(F.collect_list("body").alias(gone))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = columns.index(text)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [without(t, set(others or ())) for t, others in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist())]
             own = [batch.column(i) for i in range(len(columns))]
             own[at] = pa.array([r[0] for r in rows], batch.column(at).type)

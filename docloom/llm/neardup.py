@@ -26,7 +26,7 @@ edge between different ones is left; the result is the smallest doc_id. Rows are
 each its own links. Rows without a doc_id are linked with nothing, and have no component and a null `kept`. Null and empty texts have
 empty sets and are linked with nothing. An empty table gives an empty table; other columns play no part.
 
-Hot buckets and copies meet in partial aggregates; pairs grow with bucket memberships, not with their squares.
+Hot buckets and copies meet in partial aggregates, and copies find their group over many places; pairs grow with bucket memberships, not with their squares.
 Every table that is used twice is written to the shared folder.
 """
 
@@ -42,7 +42,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import durable, q, read, sliced, worker_cache
+from docloom.llm.common import durable, q, read, sliced, spread_join, worker_cache
 
 BANDS, ROWS = 30, 5
 CIRCLE = 20
@@ -155,7 +155,7 @@ def _spanning(comp: list[int], linked: Iterator[tuple[int, int]]) -> Iterator[tu
 def _chunk_links(width: int, limit: int):
     """Of each row's nodes, links that join their components, from the full sets of all pairs.
 
-    The sets are rows of a table over the chunk's shingles; its product with itself has all intersections' sizes.
+    The sets are rows of a table over the chunk's shared shingles; its product with itself has the intersections' sizes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,12 +164,18 @@ def _chunk_links(width: int, limit: int):
             left, right = [], []
             for nodes, comps, texts in zip(*(batch.column(c).to_pylist() for c in ("nodes", "comps", "texts"))):
                 sets = [shingles(words_of(t), width, hashes) for t in texts]
-                sizes = np.array([len(x) for x in sets])
+                sizes, comp = np.array([len(x) for x in sets]), np.array(comps)
+                kinds, of = np.unique(comp, return_inverse=True)
+                few = np.flatnonzero(of != np.bincount(of, minlength=len(kinds)).argmax())  # the largest component's own pairs are joined already
                 _, column = np.unique(np.concatenate(sets), return_inverse=True)
-                table = np.zeros((len(sets), column.max() + 1), dtype=np.float32)
-                table[np.repeat(np.arange(len(sets)), sizes), column] = 1
-                both = (table @ table.T).astype(np.int64)
-                linked = np.argwhere(np.triu(100 * both >= limit * (sizes[:, None] + sizes[None, :] - both), 1))
+                row, shared = np.repeat(np.arange(len(sets)), sizes), np.bincount(column) > 1
+                column, row = (np.cumsum(shared) - 1)[column][shared[column]], row[shared[column]]
+                table = np.zeros((len(sets), shared.sum()), dtype=np.float32)
+                table[row, column] = 1
+                both = (table[few] @ table.T).astype(np.int64)
+                alike = (100 * both >= limit * (sizes[few][:, None] + sizes[None, :] - both)) & (comp[few][:, None] != comp[None, :])
+                linked = np.argwhere(alike)
+                linked[:, 0] = few[linked[:, 0]]
                 for i, j in _spanning(comps, map(tuple, linked.tolist())):
                     left.append(min(nodes[i], nodes[j])), right.append(max(nodes[i], nodes[j]))
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
@@ -248,7 +254,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     base = docs.select(q(doc_id).alias("id"), q(text).alias("text"))
     signed = durable(base.mapInArrow(_sign(width), f"id {kind}, digest binary, n long, bands array<long>, sketch binary, text string"))
     known = signed.filter("digest IS NOT NULL AND id IS NOT NULL")
-    reps = durable(known.groupBy("digest").agg(F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
+    reps = durable(known.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
     rows = known.select("digest", "id", "n", F.octet_length("text").alias("bytes"), "bands").join(reps, (known["digest"] == reps["digest"]) & (F.col("id") == F.col("rep"))).select("node", "n", "bytes", "bands").dropDuplicates(["node"])
     rows = durable(rows.select("node", "n", "bytes", F.posexplode("bands").alias("band", "key")))
     sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -274,9 +280,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     comps = labels.join(reps, "node").select("digest", "comp", "rep")
     least = comps.groupBy("comp").agg(F.min("rep").alias("least"))
     linked = comps.join(least, "comp").select("digest", "least")
-    of = reps.join(linked, "digest", "left").select("digest", F.coalesce("least", "rep").alias("component_id"))
+    of = reps.join(linked, "digest", "left").select("digest", "copies", F.coalesce("least", "rep").alias("component_id"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    out = signed.select("id", "digest", "n").join(of, "digest", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    # Rows without a digest are dealt by their id: they match nothing.
+    rows = signed.select("id", F.coalesce("digest", F.col("id").cast("string").cast("binary"), F.lit(b"")).alias("digest"), "n")
+    out = spread_join(rows, of, "digest", "id", "copies", signed.count()).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
