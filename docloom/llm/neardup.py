@@ -238,6 +238,8 @@ def _mate_links(buckets: DataFrame, labels: DataFrame, sets: DataFrame, turn: in
     """Links (a, b) within chunks of the open buckets' members."""
     members = _open(buckets, labels)
     chunks = F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("bytes_all") / CHUNK_BYTES))
+    if turn > 1:
+        members = members.filter(chunks > 1)  # all pairs of the others were compared in the first turn
     own = members.select("band", "key", F.pmod(F.xxhash64("node", "band", F.lit(turn)), chunks).alias("chunk"), "node", "comp").join(sets.select("node", "text"), "node")
     lists = own.groupBy("band", "key", "chunk").agg(F.collect_list(F.struct("node", "comp", "text")).alias("own"))
     lists = lists.filter(F.size("own") > 1).select(F.col("own.node").alias("nodes"), F.col("own.comp").alias("comps"), F.col("own.text").alias("texts"))
