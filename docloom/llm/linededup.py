@@ -1,13 +1,16 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by all short runs of lines.
 
-A document's lines are cut into chunks where the rolling hash of the last WINDOW lines' hashes meets a mask, so an
-inserted or lost line moves the boundaries near it only. A chunk has at most MOST_LINES lines; a line of LONG_WORDS
-words or more is a chunk by itself, so that passages that are one long line are seen as well. Chunks of two lines and
-SHORT_WORDS words or more, and those long lines, can be removed; others always stay.
+What repeats is a run of two lines or more with SHORT_WORDS words or more, or a line of LONG_WORDS words or more. Such a
+run holds, with each of its lines that has a word, a chunk: a line that is long enough by itself; or, from a line that has
+words, the shortest run of two lines and SHORT_WORDS words that begins, or ends, there. So all chunks are compared, none
+is sampled, and the lines of the repeated chunks are the repeated runs at their full length, wherever they stand. A chunk of long
+lines only adds nothing to these and is left out. Lines without a word that aren't in a chunk stay.
 
 The chunk stays in the document with the smallest doc_id that has it, where it comes first, and every other occurrence
 goes: within a document by direct comparison, across documents by 128-bit digests, which find the candidates, and then
-comparison with the staying chunk's bytes. A candidate whose bytes differ stays.
+comparison with the staying chunk's bytes. A candidate whose bytes differ stays. Chunks overlap, so that a line of a
+staying chunk may go with another one, and of a line that follows itself over and over one is left; one copy of every
+line always stays, since a line only goes where it stands in an earlier document or further up.
 
 Null text stays null; empty text has one empty line and stays. A document may end up empty. Rows with equal doc_id are
 one document, whose chunks don't go for each other's sake; rows without a doc_id lose their inner repeats only. Repeated
@@ -30,49 +33,40 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import durable, fresh, q, read, sliced, spread_join
 
-WINDOW = 2
-MASK = 0b11  # every fourth line ends a chunk, on average
-MOST_LINES = 16
 LONG_WORDS, SHORT_WORDS = 50, 8
 BROADCAST = 200_000  # rows of 24 bytes
-BASE = 0x9E3779B97F4A7C15
-FULL = (1 << 64) - 1
-
-
-def chunks(text: bytes) -> list[tuple[int, int, bool]]:
-    """(first line, end line, can be removed) of each chunk, in order and without gaps."""
-    lines = text.split(b"\n")
-    words = [len(line.split()) for line in lines]
-    hashes = [xxhash.xxh3_64_intdigest(line) for line in lines]
-    drop = pow(BASE, WINDOW, 1 << 64)
-    out, start, rolling = [], 0, 0
-
-    def close(end: int) -> None:
-        nonlocal start
-        if end > start:
-            n = sum(words[start:end])
-            out.append((start, end, n >= LONG_WORDS or (end - start > 1 and n >= SHORT_WORDS)))
-            start = end
-
-    for i, h in enumerate(hashes):
-        rolling = (rolling * BASE + h - (hashes[i - WINDOW] * drop if i >= WINDOW else 0)) & FULL
-        if words[i] >= LONG_WORDS:
-            close(i)
-            close(i + 1)
-        elif (rolling >> 40) & MASK == 0 or i + 1 - start >= MOST_LINES:
-            close(i + 1)
-    close(len(lines))
-    return out
+
+
+def chunks(text: bytes) -> list[tuple[int, int, int]]:
+    """(first line, end line, words) of the lines, of which the chunks that can be removed are made."""
+    return [(i, i + 1, len(line.split())) for i, line in enumerate(text.split(b"\n"))]
+
+
+def _runs(words: list[int]) -> list[tuple[int, int]]:
+    """(first line, end line) of the chunks that can be removed, in order."""
+    filled = [i for i, n in enumerate(words) if n]
+    out = {(i, i + 1) for i in filled if words[i] >= LONG_WORDS}
+    for step in (1, -1):
+        order, at, n = filled[::step], 0, 0
+        for k, i in enumerate(order):
+            while at < len(order) and (at <= k or n < SHORT_WORDS):
+                n += words[order[at]]
+                at += 1
+            if n >= SHORT_WORDS:
+                j = order[at - 1] if at - 1 > k else i + step  # a line of enough words takes the next one, whatever it is
+                if 0 <= j < len(words):
+                    out.add((min(i, j), max(i, j) + 1))
+            n -= words[i]
+    return sorted((s, e) for s, e in out if e - s == 1 or min(words[s:e]) < LONG_WORDS)
 
 
 def removable(text: str | None) -> Iterator[tuple[bytes, bytes, int, int]]:
     """(digest, bytes, first line, end line) of the chunks that can be removed."""
     if text:
         lines = (body := text.encode()).split(b"\n")
-        for start, end, can in chunks(body):
-            if can:
-                own = b"\n".join(lines[start:end])
-                yield xxhash.xxh3_128_digest(own), own, start, end
+        for start, end in _runs([n for _, _, n in chunks(body)]):
+            own = b"\n".join(lines[start:end])
+            yield xxhash.xxh3_128_digest(own), own, start, end
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

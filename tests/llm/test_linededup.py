@@ -66,6 +66,31 @@ def test_chunks_cover_everything():
         assert [s for s, _, _ in own] == [0, *(e for _, e, _ in own[:-1])] and own[-1][1] == t.count(b"\n") + 1
 
 
+@pytest.mark.parametrize("n, words", [(1, 60), (2, 30), (3, 20), (4, 15), (4, 45), (6, 12), (10, 12), (20, 3), (60, 1)])
+def test_passages_of_any_lines_go_whole(spark, n, words):
+    passage = [" ".join(f"p{i}w{k}" for k in range(words)) for i in range(n)]
+    rows = []
+    for i in range(30):
+        own = [f"{line} own{i}" for line in sentences(2000 + i, 8, 12)]
+        own[i % 9 : 0] = passage
+        rows.append((i, "\n".join(own)))
+    for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        left = r["text"].split("\n")
+        assert sum(x in left for x in passage) == (0 if r["doc_id"] else n) and len(left) == 8 + (0 if r["doc_id"] else n)
+
+
+def test_chunks_are_the_repeated_runs():
+    rnd = random.Random(3)
+    for _ in range(300):
+        words = [rnd.choice([0, 0, 1, 2, 3, 5, 8, 20, 49, 50]) for _ in range(rnd.randint(1, 14))]
+        own = L._runs(words)
+        for s in range(len(words)):
+            for e in range(s + 1, len(words) + 1):
+                if (e - s > 1 and sum(words[s:e]) >= L.SHORT_WORDS) or (e - s == 1 and words[s] >= L.LONG_WORDS):
+                    covered = {i for a, b in own if s <= a and b <= e for i in range(a, b)}
+                    assert covered >= {i for i in range(s, e) if words[i]}
+
+
 def test_awkward_rows(spark, tmp_path):
     df = awkward(spark)
     got = L.dedup_lines(df)
