@@ -17,16 +17,19 @@ components, and buckets all of one component drop out:
   pair of a small bucket, and of a large one pairs that the pivots don't join. Documents that share passages of their
   own share small buckets. In a chunk, all pairs' intersections are one product of small tables, and only links that
   join components leave it.
-There are ROUNDS rounds. A pair of a large bucket that alone joins two components is met in a chunk of one of about 13
-common bands in each of the later rounds; the README has measured numbers. Before the full sets of a pivot's pairs are
-compared, pairs whose signatures rule the limit out (by more than six standard deviations) are left out.
+- after ROUNDS rounds, which have joined most of what belongs together at little cost, buckets that are still open and had
+  more than one chunk are compared whole: the members outside the pivot's component in blocks of about BLOCK documents or
+  BLOCK_BYTES bytes, each block with itself, with each other one and with each block of the pivot's component.
+So every pair that shares a bucket is compared by its full sets unless it is of one component already, however large the
+bucket. The last step's work grows with the square of the number of members that nothing joins. Before the full sets of a pivot's
+pairs are compared, pairs whose signatures rule the limit out (by more than six standard deviations) are left out.
 
 Components are merged by contraction: each component joins its neighbour of least random rank, over and over, until no
 edge between different ones is left; the result is the smallest doc_id. Rows are documents: those of one doc_id have
 each its own links. Rows without a doc_id are linked with nothing, and have no component and a null `kept`. Null and empty texts have
 empty sets and are linked with nothing. An empty table gives an empty table; other columns play no part.
 
-Hot buckets and copies meet in partial aggregates, and copies find their group over many places; pairs grow with bucket memberships, not with their squares.
+Hot buckets and copies meet in partial aggregates, and copies find their group over many places; in all but the last step, pairs grow with bucket memberships, not with their squares.
 Every table that is used twice is written to the shared folder.
 """
 
@@ -48,6 +51,8 @@ BANDS, ROWS = 30, 5
 CIRCLE = 20
 CHUNK, CHUNK_BYTES = 256, 400_000  # documents and bytes of text, about
 ROUNDS = 4
+BLOCK, BLOCK_BYTES = 1024, 2_000_000  # as CHUNK, of one side of a comparison
+SLAB = 4096  # shingles of a table at a time
 WIDTH, LIMIT = 5, 80  # words in a shingle, per cent
 CACHE = 300_000
 
@@ -156,26 +161,38 @@ def _chunk_links(width: int, limit: int):
     """Of each row's nodes, links that join their components, from the full sets of all pairs.
 
     The sets are rows of a table over the chunk's shared shingles; its product with itself has the intersections' sizes.
+    Where there are two sides, only pairs of different sides are compared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = worker_cache("shingle words", Hashes)
         for batch in sliced(batches, 10):
             left, right = [], []
-            for nodes, comps, texts in zip(*(batch.column(c).to_pylist() for c in ("nodes", "comps", "texts"))):
+            for nodes, comps, sides, texts in zip(*(batch.column(c).to_pylist() for c in ("nodes", "comps", "sides", "texts"))):
                 sets = [shingles(words_of(t), width, hashes) for t in texts]
                 sizes, comp = np.array([len(x) for x in sets]), np.array(comps)
-                kinds, of = np.unique(comp, return_inverse=True)
-                few = np.flatnonzero(of != np.bincount(of, minlength=len(kinds)).argmax())  # the largest component's own pairs are joined already
+                side = np.array(sides)
+                if side.any() and not side.all():
+                    few, all_ = np.flatnonzero(~side), np.flatnonzero(side)
+                else:
+                    kinds, of = np.unique(comp, return_inverse=True)
+                    few = np.flatnonzero(of != np.bincount(of, minlength=len(kinds)).argmax())  # the largest component's own pairs are joined already
+                    all_ = np.arange(len(sets))
                 _, column = np.unique(np.concatenate(sets), return_inverse=True)
                 row, shared = np.repeat(np.arange(len(sets)), sizes), np.bincount(column) > 1
                 column, row = (np.cumsum(shared) - 1)[column][shared[column]], row[shared[column]]
-                table = np.zeros((len(sets), shared.sum()), dtype=np.float32)
-                table[row, column] = 1
-                both = (table[few] @ table.T).astype(np.int64)
-                alike = (100 * both >= limit * (sizes[few][:, None] + sizes[None, :] - both)) & (comp[few][:, None] != comp[None, :])
+                order = np.argsort(column, kind="stable")
+                column, row = column[order], row[order]
+                both = np.zeros((len(few), len(all_)), dtype=np.float32)
+                for at in range(0, int(shared.sum()), SLAB):
+                    lo, hi = np.searchsorted(column, [at, at + SLAB])
+                    table = np.zeros((len(sets), min(SLAB, int(shared.sum()) - at)), dtype=np.float32)
+                    table[row[lo:hi], column[lo:hi] - at] = 1
+                    both += table[few] @ table[all_].T
+                both = both.astype(np.int64)
+                alike = (100 * both >= limit * (sizes[few][:, None] + sizes[all_][None, :] - both)) & (comp[few][:, None] != comp[all_][None, :])
                 linked = np.argwhere(alike)
-                linked[:, 0] = few[linked[:, 0]]
+                linked = np.stack([few[linked[:, 0]], all_[linked[:, 1]]], axis=1)
                 for i, j in _spanning(comps, map(tuple, linked.tolist())):
                     left.append(min(nodes[i], nodes[j])), right.append(max(nodes[i], nodes[j]))
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
@@ -241,8 +258,28 @@ def _mate_links(buckets: DataFrame, labels: DataFrame, sets: DataFrame, turn: in
     if turn > 1:
         members = members.filter(chunks > 1)  # all pairs of the others were compared in the first turn
     own = members.select("band", "key", F.pmod(F.xxhash64("node", "band", F.lit(turn)), chunks).alias("chunk"), "node", "comp").join(sets.select("node", "text"), "node")
-    lists = own.groupBy("band", "key", "chunk").agg(F.collect_list(F.struct("node", "comp", "text")).alias("own"))
-    lists = lists.filter(F.size("own") > 1).select(F.col("own.node").alias("nodes"), F.col("own.comp").alias("comps"), F.col("own.text").alias("texts"))
+    return _links(own.withColumn("side", F.lit(False)), ["band", "key", "chunk"], width, limit)
+
+
+def _block_links(buckets: DataFrame, labels: DataFrame, sets: DataFrame, width: int, limit: int) -> DataFrame:
+    """Links (a, b) of all pairs of different components in the open buckets that had more than one chunk.
+
+    Blocks 0 to `free` - 1 have the members outside the pivot's component, the others those within.
+    """
+    members = _open(buckets, labels).filter((F.col("size") > CHUNK) | (F.col("bytes_all") > CHUNK_BYTES)).withColumn("out", F.col("comp") != F.col("pivot_comp"))
+    blocks = lambda of: F.greatest(F.lit(1), F.ceil(F.sum(of.cast("long")) / BLOCK), F.ceil(F.sum(F.when(of, F.col("bytes"))) / BLOCK_BYTES)).cast("int")
+    counts = members.groupBy("band", "key").agg(blocks(F.col("out")).alias("free"), blocks(~F.col("out")).alias("held"))
+    dealt = members.select("band", "key", "node", "comp", "out").join(counts, ["band", "key"]).join(sets.select("node", "text"), "node")
+    hashed = F.xxhash64("node", "band")
+    dealt = dealt.withColumn("block", F.when(F.col("out"), F.pmod(hashed, F.col("free"))).otherwise(F.col("free") + F.pmod(hashed, F.col("held"))).cast("int"))
+    meets = F.sequence(F.lit(0), F.when(F.col("out"), F.col("free") + F.col("held")).otherwise(F.col("free")) - 1)
+    own = dealt.withColumn("with", F.explode(meets)).select("band", "key", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"), "block", "node", "comp", "text")
+    return _links(own.withColumn("side", F.col("block") > F.col("left")), ["band", "key", "left", "right"], width, limit)
+
+
+def _links(own: DataFrame, by: list[str], width: int, limit: int) -> DataFrame:
+    lists = own.groupBy(*by).agg(F.collect_list(F.struct("node", "comp", "side", "text")).alias("own"))
+    lists = lists.filter(F.size("own") > 1).select(*[F.col(f"own.{c}").alias(f"{c}s") for c in ("node", "comp", "side", "text")])
     return lists.mapInArrow(_chunk_links(width, limit), "a long, b long").distinct()
 
 
@@ -267,8 +304,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labels = durable(scores.select("node", F.col("node").alias("comp")))
     own = known.select("digest", "id", "sketch", "text").join(reps, (known["digest"] == reps["digest"]) & (F.col("id") == F.col("rep"))).select("node", "sketch", "text")
     sets = durable(own.join(labels.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    for turn in range(ROUNDS):
-        if turn:
+    for turn in range(ROUNDS + 1):
+        if turn == ROUNDS:
+            links = _block_links(buckets, labels, sets, width, limit)
+        elif turn:
             links = _mate_links(buckets, labels, sets, turn, width, limit)
         else:
             pairs = _star_pairs(buckets, labels, sets, limit)

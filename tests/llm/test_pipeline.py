@@ -89,6 +89,17 @@ def test_near_duplicates_are_the_exact_components(spark):
         assert got == want
 
 
+def test_links_in_large_buckets_are_all_found(spark, monkeypatch):
+    """Pairs of a template whose documents aren't linked to each other nor to a pivot."""
+    monkeypatch.setattr(neardup, "CHUNK", 1)
+    monkeypatch.setattr(neardup, "BLOCK", 16, raising=False)
+    template = " ".join(f"t{i}" for i in range(170))
+    tail = lambda i: [f"p{i // 2}x{k}" for k in range(8)] + [f"d{i}x{k}" for k in range(13)]
+    rows = [(i, f"{template} {' '.join(tail(i))}") for i in range(120)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, limit=85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(zip(range(120), components(rows, 3, 85))) == {i: i - i % 2 for i in range(120)}
+
+
 def test_near_duplicates_awkward(spark, tmp_path):
     df = awkward(spark)
     got = neardup.op6_near_dedup(spark, written(df, tmp_path)).collect()
