@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +36,15 @@ def q(name: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only a session of one machine (master local) may do without the setting and gets a temporary folder; a cluster's
+    executors could not read that, so there it is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "docloom-shared")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -48,7 +55,16 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `durable` wrote. For those only that no later step can ask for again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -87,15 +103,20 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, count: str,
     return dealt.join(one.withColumn(salt, F.explode(places)), [key, salt], "left").drop(salt)
 
 
-def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
-    """Ascending values of the integer column `key` that cut it into about `parts` equal ranges.
+def range_bounds(df: DataFrame, key: str, parts: int) -> tuple[list[int], list[int]]:
+    """Ascending values of the integer column `key` that cut it into about `parts` equal ranges, and the hot ranges.
 
-    One scan of a single column; the driver receives at most `parts` numbers. The values occur in the column.
+    One scan of a single column; the driver receives at most `parts` numbers. The values occur in the column. A range is
+    hot if one value, or null, fills it more than twice over: no bounds of the column alone can split it further.
     """
     if parts < 2:
-        return []
-    got = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], max(10_000, 10 * parts))).first()[0]
-    return sorted(set(got or []))
+        return [], []
+    found = F.percentile_approx(q(key), [i / parts for i in range(1, parts)], max(10_000, 10 * parts))
+    got, nulls, rows = df.agg(found, F.count_if(q(key).isNull()), F.count(F.lit(1))).first()
+    times = Counter(got or [])
+    bounds = sorted(times)
+    hot = [i for i, b in enumerate(bounds) if times[b] > 2]
+    return bounds, sorted({0, *hot}) if nulls * parts > 2 * rows else hot
 
 
 def range_bucket(key: Column, bounds: list[int]) -> Column:

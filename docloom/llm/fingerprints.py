@@ -82,7 +82,7 @@ def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text and `next_text` of the next document, dealt by `part`, with `own` false on copies for the range before."""
     spark = docs.sparkSession
-    bounds = range_bounds(docs, doc_id, SPREAD * partitions(spark))
+    bounds, _ = range_bounds(docs, doc_id, SPREAD * partitions(spark))
     last = len(bounds)
     slim = docs.select(q(doc_id).cast("bigint").alias("doc_id"), F.coalesce(q(text), F.lit("")).alias("text"))
     slim = slim.withColumn("part", range_bucket(F.col("doc_id"), bounds))  # a higher part has higher ids

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from docloom.llm import decontamination, fingerprints, languages, linededup, neardup, packing, pii, secrets, sharding, tokencounts
 
 
@@ -18,9 +17,8 @@ def queries() -> dict:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_language_id": languages.op9_language_id,
         "op10_token_counts": tokencounts.op10_token_counts,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op6_near_dedup": neardup.SQL, "op8_decontamination": decontamination.SQL}
+    return {"op4_sharding": sharding.SQL, "op6_near_dedup": neardup.SQL, "op8_decontamination": decontamination.SQL}
