@@ -186,6 +186,43 @@ def matches(text: Column, pattern: str, before: int = 0, after: int = 0) -> Colu
     return F.when(text.rlike(pattern), let(found, place)).otherwise(F.array().cast(kind))
 
 
+def running(items: Column, start: Column, step, emit, kind: str) -> Column:
+    """emit(state, item) of each item as an array of `kind`, the state being that before it; step(state, item) gives the next.
+
+    States are worked out for blocks first and then within them, so that long arrays take time in proportion.
+    """
+    state = lambda x: F.struct(x.alias("at"))
+
+    def blocked(items: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, BLOCK))
+        return let(blocks, placed)
+
+    def placed(blocks: Column) -> Column:
+        over = lambda acc, b: F.struct(F.aggregate(b, acc["at"], step).alias("at"), F.concat(acc["out"], F.array(state(acc["at"]))).alias("out"))
+        starts = F.aggregate(blocks, F.struct(start.alias("at"), F.slice(F.array(state(start)), 1, 0).alias("out")), over, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, starts, within))
+
+    def within(block: Column, at: Column) -> Column:
+        over = lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(emit(acc["at"], x))).alias("out"))
+        return F.aggregate(block, F.struct(at["at"].alias("at"), F.array().cast(f"array<{kind}>").alias("out")), over, lambda acc: acc["out"])
+
+    return let(items, lambda items: F.when(F.size(items) > 0, blocked(items)).otherwise(F.array().cast(f"array<{kind}>")))
+
+
+def reach(spans: Column, others: Column, kind: str, by: str, least: int) -> Column:
+    """Of each span that `others` has a part in: array<struct<far:int,x:kind>> in order of the span's field `by`.
+
+    `far` is the largest end of the spans in `others` that begin before the span's `by`, or with `least` 1 at it, at the latest; -1
+    if there is none. One merge of both by place, instead of comparing all pairs.
+    """
+    event = lambda at, after, e, x: F.struct(at.alias("at"), F.lit(after).alias("after"), e.alias("e"), x.alias("x"))
+    own = F.transform(spans, lambda x: event(x[by], least, x["e"], x))
+    all_ = F.concat(own, F.transform(others, lambda x: event(x["s"], 1 - least, x["e"], F.lit(None).cast(kind))))
+    ordered = F.array_sort(all_, lambda a, b: F.when(a["at"] != b["at"], a["at"] - b["at"]).otherwise(a["after"] - b["after"]))
+    found = running(ordered, F.lit(-1), lambda far, x: F.when(x["x"].isNull(), F.greatest(far, x["e"])).otherwise(far), lambda far, x: F.struct(far.alias("far"), x["x"].alias("x")), f"struct<far:int,x:{kind}>")
+    return F.filter(found, lambda x: x["x"].isNotNull())
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of array<struct<kind,s,e>>, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")

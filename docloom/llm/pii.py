@@ -1,10 +1,10 @@
 """Personal data by candidate gradient boosting, with DataFrame functions only.
 
-Generators of high recall propose spans that may overlap: written-out mail addresses, runs of digits and separators,
-account numbers, and addresses of hexadecimal groups. Whole-number features of a candidate's format and of the text just
+Generators of high recall propose spans that may overlap: written-out mail addresses, digits with separators, bare
+runs of digits, account numbers, and addresses of hexadecimal groups. Whole-number features of a candidate's format and of the text just
 before and after it go to boosted trees (boosting.py), which are one expression of comparisons. Calibrated thresholds select
-candidates; of selected ones that overlap, the most probable stays (then the first, then the longest). Spans of the base
-formats always stay, and selected ones that overlap them are left out.
+candidates; selected ones that overlap spans of the base formats, which always stay, are left out, and of those that
+overlap each other the more probable stays (then the first), settled by a sweep in order of place: no pairs are compared.
 
 The trees are fitted on EXAMPLES made-up sentences, whose features come from the same expressions; there are no labels for this
 in the corpus. Their number is the bound on what the driver fits.
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.boosting import Boosted, fit
-from docloom.llm.common import fresh, joined, let, matches, q, read
+from docloom.llm.common import fresh, joined, let, matches, q, reach, read, running
 
 # The base formats. Loops that need no way back are possessive, and a run is tried at its start only.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -35,8 +35,9 @@ PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 # The generators.
 GENERATORS = {
     "email_like": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20|@)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{2,63}+){1,4}+",
-    "number_like": r"(?<![A-Za-z0-9.])\+?\(?[0-9]{1,20}+(?:[\x20./()-]{1,2}+[0-9]{1,20}+){1,8}+(?![A-Za-z0-9])",
+    "number_like": r"(?<![A-Za-z0-9.])\+?\(?[0-9]{1,20}+(?:[\x20./()-]{1,2}+[0-9]{1,20}+)++(?![A-Za-z0-9])",
     "account_like": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])",
+    "digit_run": r"(?<![A-Za-z0-9.,_$€£#+-])[0-9]{7,20}+(?![A-Za-z0-9_])",
     "hex_groups": r"(?<![A-Za-z0-9:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![A-Za-z0-9:])",
 }
 BEFORE, AFTER = 28, 12
@@ -44,11 +45,11 @@ BEFORE, AFTER = 28, 12
 HINTS = {
     "mail": r"(?i)(?:mail|contact|write|reach|address)",
     "phone": r"(?i)(?:phone|tel|call|mobile|cell|fax|whatsapp|contact|reach|ring)",
-    "number": r"(?i)(?:ssn|social security|passport|licen[cs]e|national id|tax id|iban|account|acct|card|visa|born|birth|dob|patient)",
+    "number": r"(?i)(?:ssn|social security|passport|licen[cs]e|national id|identity|insurance|tax id|iban|account|acct|card|visa|born|birth|dob|patient|member)",
     "network": r"(?i)(?:\bip\b|ipv6|host|server|client|mac|address|login)",
-    "other": r"(?i)(?:version|release|price|total|page|chapter|section|score|figure|table|isbn|issn|order|ratio|lines?|usd|eur|[$€£#]|at)\W{0,3}$",
+    "other": r"(?i)(?:version|release|price|total|pages?|chapter|section|score|figure|table|isbn|issn|order|invoice|ticket|issue|build|serial|sku|item|part|model|time|seconds|population|about|ratio|lines?|bytes|usd|eur|[$€£#]|at)\W{0,3}(?:no\.?|number|is|of)?\W{0,2}$",
 }
-EXAMPLES = 1800
+EXAMPLES = 2400
 
 
 def luhn(digits: Column) -> Column:
@@ -124,6 +125,11 @@ def examples(n: int, seed: int = 7) -> list[tuple[str, int]]:
         lambda: (rnd.choice(["mail ", "write to ", word() + " ", "contact "]), f"{word()}{at()}{word()}{dot()}{rnd.choice(['com', 'org', 'net'])}"),
         lambda: (rnd.choice(["iban ", "account ", "pay to "]), f"{rnd.choice(['DE', 'FR', 'ES', 'GB'])}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}"),
         lambda: (rnd.choice(["client ", "ipv6 ", "host address "]), ":".join(hexs(4) for _ in range(8))),
+        lambda: (rnd.choice(["call ", "phone ", "mobile: ", "tel ", "text me at phone "]), rnd.choice(["0", "1", ""]) + d(10)),
+        lambda: (rnd.choice(["ssn ", "passport no ", "passport ", "tax id ", "national id number ", "insurance "]), d(9)),
+        lambda: (rnd.choice(["account ", "acct no ", "card ", "account number is ", "member card "]), d(rnd.randint(10, 16))),
+        lambda: (rnd.choice(["call ", "phone ", "mobile ", "ring "]), " ".join(d(2) for _ in range(5))),
+        lambda: (rnd.choice(["phone ", "dial phone "]), " ".join(d(10))),
     ]
     no = [
         lambda: (rnd.choice(["version ", "release ", word() + " "]), ".".join(d(rnd.randint(1, 2)) for _ in range(rnd.randint(2, 4)))),
@@ -135,6 +141,10 @@ def examples(n: int, seed: int = 7) -> list[tuple[str, int]]:
         lambda: (word() + " ", f"{word()} at {word()}.{rnd.choice(['', ' '])}{word()}"),
         lambda: (word() + " ", f"{d(3)} {d(3)} {d(3)}"),
         lambda: (rnd.choice(["at ", "until "]), f"{d(2)}:{d(2)}:{d(2)}:{d(2)}"),
+        lambda: (rnd.choice(["order ", "invoice no ", "ticket ", "build ", "serial ", "sku ", "item ", "part number ", word() + " ", "about "]), d(rnd.randint(7, 13))),
+        lambda: (rnd.choice(["population ", "bytes ", "time ", word() + " "]), d(rnd.randint(7, 10))),
+        lambda: (word() + " ", " ".join(d(rnd.randint(1, 3)) for _ in range(rnd.randint(3, 14)))),
+        lambda: (rnd.choice(["figure ", "table ", "section "]), f"{d(1)}.{d(1)}-{d(2)}"),
         lambda: (word() + " ", f"{rnd.choice(['AB', 'XZ'])}{d(2)} {word().upper()[:4]} {word().upper()[:4]} {word().upper()[:3]}"),
     ]
     out = []
@@ -174,17 +184,32 @@ def scan_pii(df: DataFrame, model: Boosted | None = None, text: str = "text") ->
         p = let(F.struct(*[c.alias(f"f{k}") for k, c in enumerate(_features(i, x))]), lambda f: model.column([f[f"f{k}"] for k in range(len(_features(i, x)))]))
         return F.struct(p.alias("p"), F.lit(len(BASE) + i).alias("rank"), x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("kind"))
 
-    df = df.withColumns({base_name: base, extra: _candidates(body, rated)})
-    meets = lambda a, b: (a["s"] < b["e"]) & (b["s"] < a["e"])
-    likely = F.filter(q(extra), lambda x: (x["p"] >= model.threshold) & ~F.exists(q(base_name), lambda b: meets(x, b)))
-    df = df.withColumn(extra, likely)
-    beats = lambda a, b: (a["p"] > b["p"]) | ((a["p"] == b["p"]) & ((a["s"] < b["s"]) | ((a["s"] == b["s"]) & (a["rank"] < b["rank"]))))
-    chosen = F.filter(q(extra), lambda x: ~F.exists(q(extra), lambda y: meets(x, y) & beats(y, x)))
-    chosen = F.transform(chosen, lambda x: F.struct(x["rank"].alias("rank"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
-    return df.withColumns({base_name: F.array_sort(q(base_name)), all_name: F.array_sort(F.concat(q(base_name), chosen))}).drop(extra)
+    likely = F.filter(_candidates(body, rated), lambda x: x["p"] >= model.threshold)
+    df = df.withColumns({base_name: F.array_sort(base), extra: likely})
+    chosen = F.transform(_chosen(q(extra), q(base_name)), lambda x: F.struct(x["rank"].alias("rank"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
+    return df.withColumn(all_name, F.when(F.size(extra) == 0, q(base_name)).otherwise(F.array_sort(F.concat(q(base_name), chosen)))).drop(extra)
+
+
+RATED = "struct<p:double,rank:int,s:int,e:int,kind:string>"
+
+
+def _chosen(likely: Column, base: Column) -> Column:
+    """Spans that overlap no base span, and of those that overlap each other the most probable, by two sweeps in order of place.
+
+    The second one holds a span until one begins after its end; one that begins before takes its place if it is more
+    probable (or as probable and of an earlier generator at the same start) and goes otherwise.
+    """
+    free = F.transform(F.filter(reach(likely, base, RATED, "e", 0), lambda x: x["far"] <= x["x"]["s"]), lambda x: x["x"])
+    end = F.struct(F.lit(0.0).alias("p"), F.lit(0).alias("rank"), F.lit(ENDS).alias("s"), F.lit(ENDS).alias("e"), F.lit("").alias("kind"))
+    ordered = F.concat(F.array_sort(free, lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).when(a["rank"] != b["rank"], a["rank"] - b["rank"]).otherwise(a["e"] - b["e"])), F.array(end))
+    nothing = F.lit(None).cast(RATED)
+    after = lambda held, x: held.isNull() | (x["s"] >= held["e"])
+    held = running(ordered, nothing, lambda held, x: F.when(after(held, x) | (x["p"] > held["p"]), x).otherwise(held), lambda held, x: F.when(after(held, x), held), RATED)
+    return F.array_compact(held)
 
 
 BASE = ("email", "ip", "card", "phone")
+ENDS = (1 << 31) - 1
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 A candidate is a run of 20 or more characters that keys are written in. It gets a character class (hex or base64).
 A window of that many characters slides over it; the counts of the characters in the window change by one in and one
 out at each step, and with them the sum of c*log2(c), held as a whole number. Windows whose entropy reaches their
-class's threshold are joined into spans. An allow-list then suppresses spans that are known to be harmless.
+class's threshold are joined into spans. An allow-list suppresses candidates that are harmless as a whole (digests with a
+name, UUIDs, words, paths, numbers), and spans of which placeholders make up half or more; a placeholder's name somewhere in a
+long key suppresses nothing. Spans are held against the base spans by one sweep in order of place.
 
 Null text counts as empty; an empty text has no spans; repeated rows each get the same result; an empty table gives an
 empty table; other columns pass through, and the result columns' names give way to columns that are there already.
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import fresh, joined, let, matches, q, read
+from docloom.llm.common import fresh, joined, let, matches, q, reach, read
 
 # The base formats in their order; `least` is the fewest characters of the tested part.
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -32,12 +34,14 @@ ALLOWED = [
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",  # UUIDs
     r"^[A-Za-z]?[a-z/_=-]+$",  # words, slugs and paths in lower case
     r"^[A-Z/_=-]+$",  # the same in upper case
-    r"^(?:[A-Z]?[a-z]{2,}[0-9]{0,2}[/_=-]*)+$",  # names in camel case
+    r"^(?:[A-Z]?[a-z]{2,}+[0-9]{0,2}+[/_=-]*+)++$",  # names in camel case; possessive, so that Java's matcher doesn't recurse
     r"^[0-9/_=+-]+$",  # numbers and dates
-    r"(?i)(?:example|placeholder|dummy|changeme|xxxxx|abcdefgh|12345678|00000000)",
+    r"EXAMPLE(?:KEY)?$",  # keys of documentation
 ]
+PLACEHOLDER = r"(?i)(?:example|placeholder|dummy|changeme|x{5,}+|abcdefgh|12345678|0{8,}+)"  # suppress a span that is made of them by half or more
 WORD = "+/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz-"
 SCALE = 1_000_000
+WINDOWS = 1024  # in a block
 
 
 @dataclass(frozen=True)
@@ -64,14 +68,28 @@ CLASSES = (
 def _hot_windows(codes: Column, cls: EntropyClass) -> Column:
     """Spans within the candidate, joined from windows of enough entropy. `codes`: one-based places in WORD.
 
+    The windows are taken in blocks, each of which first counts the characters of the window before its own first one.
+    """
+    last, none = F.size(codes) - 1, F.array().cast("array<struct<s:int,e:int>>")
+    block = lambda b: _slide(codes, cls, b * WINDOWS, F.least(last, (b + 1) * WINDOWS - 1))
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.floor(last / WINDOWS).cast("int")), block))
+    first = lambda a: F.filter(a, lambda x, i: F.coalesce(x["s"] > F.get(a, i - 1)["e"], F.lit(True)))
+    final = lambda a: F.filter(a, lambda x, i: F.coalesce(F.get(a, i + 1)["s"] > x["e"], F.lit(True)))
+    whole = lambda a: F.when(last < WINDOWS, a).otherwise(F.zip_with(first(a), final(a), lambda x, y: F.struct(x["s"].alias("s"), y["e"].alias("e"))))
+    return F.when(F.size(codes) < cls.window, none).otherwise(let(spans, whole))
+
+
+def _slide(codes: Column, cls: EntropyClass, begin: Column, end: Column) -> Column:
+    """Spans of the windows that end at the characters from `begin` to `end`.
+
     The counts are a string with a letter for each character of WORD, so that a step changes two letters.
     """
     w = cls.window
     weight = F.array(*[F.lit(round(c * math.log2(c) * SCALE) if c else 0) for c in range(w + 2)])
     count = lambda counts, c: F.ascii(F.substring(counts, c, 1)) - 65
     put = lambda counts, c, n: F.overlay(counts, F.chr(n + 65), c, 1)
-    none = F.array().cast("array<struct<s:int,e:int>>")
-    start = F.struct(F.lit("A" * len(WORD)).alias("counts"), F.lit(0).cast("int").alias("sum"), none.alias("out"))
+    start = F.struct(F.lit("A" * len(WORD)).alias("counts"), F.lit(0).cast("int").alias("sum"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    warm = F.greatest(F.lit(0), begin - (w - 1))
 
     def slide(acc: Column, i: Column) -> Column:
         def enter(counts: Column) -> Column:
@@ -80,7 +98,7 @@ def _hot_windows(codes: Column, cls: EntropyClass) -> Column:
 
         def leave(now: Column) -> Column:
             c = F.get(codes, i - w)
-            return F.when(i < w, now).otherwise(
+            return F.when(i < warm + w, now).otherwise(
                 let(count(now["counts"], c), lambda n: F.struct(put(now["counts"], c, n - 1).alias("counts"), (now["sum"] - F.get(weight, n) + F.get(weight, n - 1)).alias("sum")))
             )
 
@@ -88,17 +106,18 @@ def _hot_windows(codes: Column, cls: EntropyClass) -> Column:
             s, e, last = i - (w - 1), i + 1, F.try_element_at(acc["out"], F.lit(-1))
             joins = last.isNotNull() & (last["e"] >= s)
             longer = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(last["s"].alias("s"), e.alias("e"))))
-            hot = (s >= 0) & (now["sum"] <= cls.most)
+            hot = (s >= 0) & (i >= begin) & (now["sum"] <= cls.most)
             out = F.when(~hot, acc["out"]).when(joins, longer).otherwise(F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e")))))
             return F.struct(now["counts"].alias("counts"), now["sum"].alias("sum"), out.alias("out"))
 
         return let(let(enter(acc["counts"]), leave), mark)
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, slide, lambda acc: acc["out"])
+    return F.aggregate(F.sequence(warm, end), start, slide, lambda acc: acc["out"])
 
 
 def _in_text(cand: Column, codes: Column, cls: EntropyClass) -> Column:
-    hot = let(codes, lambda codes: _hot_windows(codes, cls))
+    filler = lambda x: F.char_length(F.regexp_replace(F.substring(cand["m"], x["s"] + 1, x["e"] - x["s"]), PLACEHOLDER, "")) * 2 <= x["e"] - x["s"]
+    hot = F.filter(let(codes, lambda codes: _hot_windows(codes, cls)), lambda x: ~filler(x))
     return F.transform(hot, lambda x: F.struct((cand["s"] + x["s"]).alias("s"), (cand["s"] + x["e"]).alias("e"), F.lit(cls.kind).alias("kind")))
 
 
@@ -127,9 +146,10 @@ def scan_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     assign = F.filter(matches(body, ASSIGN), lambda x: F.char_length(F.regexp_replace(x["m"], ASSIGN_HEAD, "")) >= 6)
     base = F.array_sort(F.concat(kind(assign, "assign", 0), kind(matches(body, ACCESS), "access", 1), kind(matches(body, HEX), "hex", 2)))
     df = df.withColumns({base_name: base, extra: _entropy_spans(body)})
-    added = F.filter(q(extra), lambda x: ~F.exists(q(base_name), lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"])))
-    added = F.transform(added, lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("rank"), x["e"].alias("e"), x["kind"].alias("kind")))
-    return df.withColumn(all_name, F.array_sort(F.concat(q(base_name), added))).drop(extra)
+    kinds = "struct<s:int,e:int,kind:string>"
+    free = F.filter(reach(q(extra), q(base_name), kinds, "s", 1), lambda x: x["far"] < x["x"]["e"])
+    added = F.transform(free, lambda x: F.struct(x["x"]["s"].alias("s"), F.lit(3).alias("rank"), x["x"]["e"].alias("e"), x["x"]["kind"].alias("kind")))
+    return df.withColumn(all_name, F.when(F.size(extra) == 0, q(base_name)).otherwise(F.array_sort(F.concat(q(base_name), added)))).drop(extra)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
