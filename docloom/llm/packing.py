@@ -1,31 +1,41 @@
 """Mixture-controlled packing: deficit round-robin over the queues of the sources, in closed form.
 
 Every document is its tokens and an end token. The documents of a source are its queue, in the order of the stored
-rows. The target of a source is its share of all tokens, so all queues end together. Windows of `window` tokens are
-filled one after the other; a queue that got less than its share of what has been given out keeps the difference as a
-deficit for the next window, and one that got more owes it. Two queues need no pass over the windows for that: of the
-first N tokens the left one gets floor(N * left / (left + right)), its deficit being the fraction that is cut off. A
-balanced binary tree of such pairs serves any number of queues. What each queue has got before a window (`served`) is
-thus known from N alone, in any partition, never falls as N grows, sums to N, and stays within log2(queues) tokens of
-the target. So a document's place in its queue gives its windows and places: the deficits pass across windows and
-partitions, and no task needs another's windows.
-
-Within a window the queues follow each other, and the window is cut into sequences of 1024 tokens: all sequences are
-full but the last of all. More sources than `most_queues` share queues by a hash of their name.
+rows. A queue is served in quanta of `quantum` tokens (its last one may be shorter), so a document is cut at a few places only, however
+small its source's share. Targets are shares of the tokens: those in `proportions`, the other sources sharing what these leave in
+proportion to their tokens; without `proportions` every source's target is its own share of the corpus, so all queues
+end together. With `proportions` the queues end one by one; from there on the others go on in proportion to their targets, and
+sources without a target come last. No token is left out or repeated.
+
+Windows are filled one after the other: a queue that got less than its share of what has been given out keeps the
+difference as a deficit for the next window, and one that got more owes it. Two queues need no pass over the windows for
+that: of the first N quanta the left one gets floor(N * left / (left + right)), its deficit being the fraction that is cut
+off. A balanced binary tree of such pairs serves any number of queues, and the formula can be turned round: the j-th
+quantum of the left queue is number ceil((j + 1) * all / left) - 1 of both, that of the right one number
+floor(j * all / right). So a quantum's place among all is known from its queue and number alone, in any partition and
+without a step over the windows between: the deficits pass across windows and partitions, and no task needs
+another's windows. After any number of tokens, at the end of any window too, each queue is within log2(queues) + 1 quanta of its target.
+
+The stream of quanta is cut into sequences of 1024 tokens: all are full but the last of all.
 
 Null text is empty (one end token); a null source is a queue like others; repeated rows are separate documents; a long
 text is cut like others. An empty table gives an empty table. Other columns play no part.
 
 Texts are tokenised once and aren't shuffled: the token table is written to the shared folder with each document's
-place in its partition's part of the queue; totals by partition and source then give the places in the whole queues.
+place in its partition's part of the queue; totals by partition and source then give the places in the whole queues. The
+driver and a broadcast hold a few numbers a source; a column with a value for each row is no mixture, and source=None
+makes one queue of all.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +46,9 @@ from pyspark.sql import functions as F
 from docloom.llm.common import durable, q, read, sliced
 
 SEQUENCE = 1024
-WINDOW = 32 * SEQUENCE
+QUANTUM = 512
 END = 0
-QUEUES = 4096
+NO_SOURCE = "\0null"
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the ranks of byte_bpe_50k.json; the ids are the same, at four times the speed
 
 
@@ -52,13 +62,27 @@ def encoder(vocabulary: str = VOCABULARY):
     return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256  # the vocabulary's one added token, an id of its own wherever it stands in a text
+
+
+def token_ids(text: str | None) -> list[int]:
+    """As tokenizers gives them with add_special_tokens=False."""
+    if not text:
+        return []
+    encode, out = encoder().encode_ordinary, []
+    for i, part in enumerate(text.split(SPECIAL)):
+        out += [SPECIAL_ID] if i else []
+        out += encode(part)
+    return out
+
+
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encode, part, queued = encoder().encode_ordinary, TaskContext.get().partitionId(), {}
+    part, queued = TaskContext.get().partitionId(), {}
     end = np.array([END], dtype="<u2").tobytes()
     for piece in sliced(batches):
         ids, starts, counts, queues = [], [], [], piece.column("queue").to_pylist()
         for text, queue in zip(piece.column("text").to_pylist(), queues):
-            own = np.array(encode(text) if text else [], dtype="<u2").tobytes() + end
+            own = np.array(token_ids(text), dtype="<u2").tobytes() + end
             n, start = len(own) // 2, queued.get(queue, 0)
             queued[queue] = start + n
             ids.append(own), starts.append(start), counts.append(n)
@@ -69,77 +93,124 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Mixture:
-    """How many tokens each queue has got once `n` have been given out."""
+    """The order in which the items of some queues are served if all of them end together."""
 
     def __init__(self, totals: list[int]):
         self.totals = totals
-        self.prefix = [0]
-        for t in totals:
-            self.prefix.append(self.prefix[-1] + t)
+        self.prefix = [0, *accumulate(totals)]
         self.total = self.prefix[-1]
 
-    def served(self, n: int, queue: int) -> tuple[int, int]:
-        """Tokens that all queues before `queue` have got, and those that it has got, of the first `n`."""
-        lo, hi, before, n = 0, len(self.totals), 0, min(n, self.total)
+    def served(self, n: int, queue: int) -> int:
+        """Items that the queue has got of the first `n`."""
+        lo, hi = 0, len(self.totals)
         while hi - lo > 1:
             mid, all_ = (lo + hi) // 2, self.prefix[hi] - self.prefix[lo]
             left = n * (self.prefix[mid] - self.prefix[lo]) // all_ if all_ else 0
-            if queue < mid:
-                hi, n = mid, left
-            else:
-                lo, before, n = mid, before + left, n - left
-        return before, n
-
-    def window_of(self, at: int, queue: int, window: int) -> int:
-        """The window that has token `at` of the queue: the last before which the queue got `at` tokens or fewer."""
-        w = at * self.total // self.totals[queue] // window
-        while self.served(w * window, queue)[1] > at:
-            w -= 1
-        while self.served((w + 1) * window, queue)[1] <= at:
-            w += 1
-        return w
-
-
-def _pieces(mixture: Mixture, queue: int, at: int, n: int, window: int, sequence: int) -> Iterator[tuple[int, int, int, int]]:
-    """(start, length, sequence, offset) of a document with `n` tokens at place `at` of its queue."""
-    start, w = 0, mixture.window_of(at, queue, window)
-    while start < n:
-        before, got = mixture.served(w * window, queue)
-        before_next, got_next = mixture.served((w + 1) * window, queue)
-        stop = min(n, got_next - at)
-        place = w * window + (before_next - before) + (at + start - got)
-        while start < stop:
-            length = min(stop - start, sequence - place % sequence)
-            yield start, length, place // sequence, place % sequence
-            start, place = start + length, place + length
-        w += 1
-
-
-def token_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", most_queues: int = QUEUES) -> DataFrame:
+            lo, hi, n = (lo, mid, left) if queue < mid else (mid, hi, n - left)
+        return n
+
+    def place(self, item: int, queue: int) -> int:
+        """The number among all items of the queue's item: `served` turned round, from the leaf up."""
+        path, lo, hi = [], 0, len(self.totals)
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            path.append((lo, mid, hi, queue < mid))
+            lo, hi = (lo, mid) if queue < mid else (mid, hi)
+        for lo, mid, hi, left in reversed(path):
+            all_ = self.prefix[hi] - self.prefix[lo]
+            item = -((item + 1) * all_ // -(self.prefix[mid] - self.prefix[lo])) - 1 if left else item * all_ // (self.prefix[hi] - self.prefix[mid])
+        return item
+
+
+class Schedule:
+    """Where the tokens of each queue go. `totals`: tokens by queue; `targets`: shares of some queues, by number."""
+
+    def __init__(self, totals: list[int], targets: dict[int, Fraction] | None = None, quantum: int = 512):
+        self.quantum, self.totals = quantum, totals
+        quanta = [-(-n // quantum) for n in totals]
+        named = sorted(targets or {})
+        rest = [k for k in range(len(totals)) if k not in set(named)]
+        self.node = {k: i for i, k in enumerate(named)} | {k: len(named) for k in rest}
+        self.within, self.inner = {k: i for i, k in enumerate(rest)}, Mixture([quanta[k] for k in rest])
+        left = [quanta[k] for k in named] + [self.inner.total]
+        weight = [Fraction(targets[k]) for k in named]
+        weight.append(max(Fraction(0), 1 - sum(weight)))
+        self.phases: list[tuple[int, list[int], Mixture]] = []  # places before it, items of each node before it, its own
+        before, got = 0, [0] * len(left)
+        while any(left):
+            active = {i: weight[i] for i, n in enumerate(left) if n and weight[i]} or {i: Fraction(n) for i, n in enumerate(left) if n}
+            lasts = min(left[i] / w for i, w in active.items())
+            take = [min(left[i], int(lasts * active[i])) if i in active else 0 for i in range(len(left))]
+            self.phases.append((before, got, Mixture(take)))
+            before, got, left = before + sum(take), [a + b for a, b in zip(got, take)], [a - b for a, b in zip(left, take)]
+        # A last quantum that is short moves all after it: the places of these, and by how much in all.
+        short = sorted((self.place(quanta[k] - 1, k), quanta[k] * quantum - n) for k, n in enumerate(totals) if n % quantum)
+        self.short, self.less = [p for p, _ in short], [0, *accumulate(n for _, n in short)]
+
+    def place(self, item: int, queue: int) -> int:
+        """The number among all quanta of the queue's quantum."""
+        node = self.node[queue]
+        if queue in self.within:
+            item = self.inner.place(item, self.within[queue])
+        before, got, mixture = self.phases[bisect_right(self.phases, item, key=lambda p: p[1][node]) - 1]
+        return before + mixture.place(item - got[node], node)
+
+    def token(self, item: int, queue: int) -> int:
+        """The place among all tokens at which the queue's quantum begins."""
+        place = self.place(item, queue)
+        return place * self.quantum - self.less[bisect_left(self.short, place)]
+
+    def pieces(self, queue: int, at: int, n: int, sequence: int) -> Iterator[tuple[int, int, int, int]]:
+        """(start, length, sequence, offset) of a document with `n` tokens at place `at` of its queue."""
+        start, held = 0, None
+        while start < n:
+            item, into = divmod(at + start, self.quantum)
+            place, stop = self.token(item, queue) + into, min(n, (item + 1) * self.quantum - at)
+            while start < stop:
+                length = min(stop - start, sequence - place % sequence)
+                if held and held[2] == place // sequence and held[3] + held[1] == place % sequence:
+                    held = (held[0], held[1] + length, *held[2:])  # goes on where the piece before it ended
+                else:
+                    if held:
+                        yield held
+                    held = (start, length, place // sequence, place % sequence)
+                start, place = start + length, place + length
+        if held:
+            yield held
+
+
+def token_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str | None = "source") -> DataFrame:
     """doc_id, part, queue, start, n and ids (little-endian unsigned 16-bit), written to the shared folder."""
-    sources = docs.select(q(source)).distinct().limit(most_queues + 1).count() if source in docs.columns else 1
-    name = F.coalesce(q(source).cast("string"), F.lit("\0null")) if source in docs.columns else F.lit("")
-    if sources > most_queues:
-        name = F.pmod(F.xxhash64(name), F.lit(most_queues)).cast("string")
+    name = F.coalesce(q(source).cast("string"), F.lit(NO_SOURCE)) if source in docs.columns else F.lit("")
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, part int, queue string, start long, n long, ids binary"
     return durable(docs.select(q(doc_id).alias("doc_id"), q(text).cast("string").alias("text"), name.alias("queue")).mapInArrow(_tokenise, schema))
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", window: int = WINDOW, sequence: int = SEQUENCE, most_queues: int = QUEUES) -> DataFrame:
-    """doc_id, source queue, start, length, ids (of the piece), doc_tokens, sequence_id, offset."""
-    tokens = token_table(docs, doc_id, text, source, most_queues)
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str | None = "source", proportions: dict[str | None, float] | None = None, quantum: int = QUANTUM, sequence: int = SEQUENCE) -> DataFrame:
+    """doc_id, source queue, start, length, ids (of the piece), doc_tokens, sequence_id, offset.
+
+    proportions: target shares of the tokens by source (None: rows without one), above 0 and together at most 1.
+    """
+    shares = {NO_SOURCE if k is None else k: Fraction(v).limit_denominator(1_000_000) for k, v in (proportions or {}).items()}
+    if any(v <= 0 for v in shares.values()) or sum(shares.values()) > 1:
+        raise ValueError("proportions are above 0 and together at most 1")
+    spark = docs.sparkSession
+    tokens = token_table(docs, doc_id, text, source)
     parts = tokens.groupBy("part", "queue").agg(F.sum("n").alias("part_n"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = durable(parts.select("part", "queue", "part_n", F.coalesce(F.sum("part_n").over(earlier), F.lit(0)).alias("offset")))
-    totals = offsets.groupBy("queue").agg(F.sum("part_n").alias("n")).orderBy("queue").collect()  # at most `most_queues` rows
-    number, mixture = {r["queue"]: i for i, r in enumerate(totals)}, Mixture([r["n"] for r in totals])
+    totals = offsets.groupBy("queue").agg(F.sum("part_n").alias("n")).orderBy("queue").collect()  # one row a source
+    number = {r["queue"]: i for i, r in enumerate(totals)}
+    schedule = Schedule([r["n"] for r in totals], {number[k]: v for k, v in shares.items() if k in number}, quantum)
+    shared = spark.sparkContext.broadcast((number, schedule))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, schedule = shared.value
         for piece in sliced(batches):
             rows, starts, lengths, ids, sequences, offsets_ = [], [], [], [], [], []
             columns = (piece.column(c).to_pylist() for c in ("queue", "place", "n", "ids"))
             for i, (queue, place, n, own) in enumerate(zip(*columns)):
-                for start, length, seq, offset in _pieces(mixture, number[queue], place, n, window, sequence):
+                for start, length, seq, offset in schedule.pieces(number[queue], place, n, sequence):
                     rows.append(i), starts.append(start), lengths.append(length), sequences.append(seq), offsets_.append(offset)
                     ids.append(own[2 * start : 2 * (start + length)])
             take = pa.array(rows, pa.int32())
