@@ -7,13 +7,17 @@ the language's share; the prediction is the language with the highest, `score` i
 
 Learning: the words of all training texts are counted by language (one pass, combined before the shuffle); starting
 from even probabilities, EM rounds distribute each word's count over its pieces by the forward-backward algorithm and
-add the expected counts by piece. The driver holds one number for each piece of the vocabulary and language, at most
-`most_languages` of which are learned (the most frequent, ties by name).
+add the expected counts by piece. Every language of the table is learned; driver and tasks hold one number for each piece of the vocabulary
+and language (some 0.2 MB a language), and more languages than `most_languages` are an error, where it is given: none is left out.
+
+A text's `lang_fit` tells how well it fits the predicted language: the mean logarithm a letter, less that of the language's
+learning texts (0: as well; below -MARGIN: in none of the learned languages, such as typing at random or another script). Texts of less
+than LEAST letters aren't judged so.
 
 A text that is null or has no letter is `und`, with score 0; so is every text if nothing was learned. Null lang is
 never learned from. Ties go to the first name. Repeated rows each get the same result; long texts are read whole; an
 empty table gives an empty table; other columns pass through, and the results' names give way to theirs. Prediction is
-one pass without a shuffle; the model is broadcast, its size bounded by the vocabulary and `most_languages`.
+one pass without a shuffle; the model is broadcast, its size bounded by the vocabulary and the number of languages.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 ROUNDS = 2
-LANGUAGES = 256
+MARGIN, LEAST = 2.5, 20  # nats a letter; letters
 CACHE = 400_000
 SHORT = 30
 RISE = 50.0
@@ -155,6 +159,7 @@ class Model:
     priors: np.ndarray
     weights: np.ndarray
     vocabulary: str = VOCABULARY
+    typical: np.ndarray | None = None  # of the learning texts, the mean logarithm a letter by language
 
     def raised(self, own: Lattices, language: np.ndarray | slice) -> np.ndarray:
         w = self.weights[own.piece] if isinstance(language, slice) else self.weights[own.piece, language[own.word]]
@@ -178,6 +183,22 @@ class Model:
                 out[i] = [self.scaled(word, k)[1][-1] for k in range(len(self.languages))]
         return out
 
+    def of_own_language(self, words: list[str], languages: np.ndarray) -> np.ndarray:
+        """Of each word in the language of its place."""
+        out = np.empty(len(words))
+        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+        for at in range(0, len(short), 4096):
+            index = short[at : at + 4096]
+            own = Lattices([words[i] for i in index], self.vocabulary)
+            alpha = np.zeros((len(index), SHORT + 2))
+            alpha[:, 0] = 1.0
+            own.sweep(alpha, self.raised(own, languages[index]), True)
+            out[index] = np.log(alpha[np.arange(len(index)), own.lengths]) - own.lengths * math.log(RISE)
+        for i, word in enumerate(words):
+            if len(word) > SHORT:
+                out[i] = self.scaled(word, int(languages[i]))[1][-1]
+        return out
+
     def scaled(self, word: str, language: int) -> tuple[list[list[tuple[int, int]]], list[float]]:
         """A long word's arcs by end, and the logarithm of the sum over all ways to each place."""
         own, n = Lattices([word], self.vocabulary), len(word) + 1
@@ -261,19 +282,20 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(counts)
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", rounds: int = ROUNDS, most_languages: int = LANGUAGES, vocabulary: str = VOCABULARY) -> Model:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", rounds: int = ROUNDS, most_languages: int | None = None, vocabulary: str = VOCABULARY) -> Model:
     """From all rows with a language; the caller leaves out those that are not for learning."""
     spark = docs.sparkSession
     rows = docs.select(q(lang).cast("string").alias("lang"), q(text).alias("text")).filter("lang IS NOT NULL")
-    shares = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    shares = sorted((r["lang"], r["count"]) for r in shares)
+    shares = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect())
+    if most_languages is not None and len(shares) > most_languages:
+        raise ValueError(f"{len(shares)} languages, more than {most_languages}")
     number, _ = pieces(vocabulary)
     languages = [k for k, _ in shares]
     model = Model(languages, np.log(np.array([n for _, n in shares], dtype=float) / max(1, sum(n for _, n in shares))), np.full((len(number) + 1, len(languages)), 1 / (len(number) + 1)), vocabulary)
     if not languages:
         return model
     index = {k: i for i, k in enumerate(languages)}
-    words = durable(rows.filter(F.col("lang").isin(languages)).mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    words = durable(rows.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
@@ -289,37 +311,66 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", rounds: int =
         sums = np.full((len(number) + 1, len(languages)), SMOOTH)
         sums[got["piece"], got["lang"]] += np.round(got["n"], 6)
         model = Model(languages, model.priors, sums / sums.sum(axis=0), vocabulary)
+    final = spark.sparkContext.broadcast(model)
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sums = final.value, np.zeros((2, len(index)))
+        for batch in batches:
+            langs, texts, counts = (batch.column(c).to_pylist() for c in ("lang", "word", "n"))
+            of = np.array([index[k] for k in langs], dtype=np.int64)
+            n = np.array(counts, dtype=float)
+            if len(of):
+                np.add.at(sums[0], of, n * own.of_own_language(texts, of))
+                np.add.at(sums[1], of, n * np.array([len(w) for w in texts]))
+        at = np.flatnonzero(sums[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[0][at]), pa.array(sums[1][at])], names=["lang", "log", "letters"])
+
+    got = words.mapInArrow(logs, "lang int, log double, letters double").groupBy("lang").agg(F.sum("log").alias("log"), F.sum("letters").alias("letters")).collect()
+    model.typical = np.zeros(len(languages))
+    for r in got:
+        model.typical[r["lang"]] = round(r["log"] / r["letters"], 6)
     return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of docs and lang_pred, score, and lang_fit: the mean logarithm a letter in the predicted language."""
-    columns, names = docs.columns, fresh(docs, "lang_pred", "score", "lang_fit")
+    """All columns of docs and lang_pred, score, lang_fit (null if not judged) and lang_letters."""
+    columns, names = docs.columns, fresh(docs, "lang_pred", "score", "lang_fit", "lang_letters")
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         scores = worker_cache(key, lambda: WordScores(own))
         for batch in sliced(batches):
-            pred, score, fit = [], [], []
+            pred, score, fit, letters = [], [], [], []
             bodies = batch.column(columns.index(text)).to_pylist()
             for at in range(0, len(bodies), 100):
                 texts = [words_of(x) for x in bodies[at : at + 100]]
                 for words, logs in zip(texts, scores.sums(texts)):
+                    letters.append(sum(map(len, words)))
                     if not words or not own.languages:
                         pred.append("und"), score.append(0.0), fit.append(None)
                         continue
                     post = logs + own.priors
                     best = int(np.argmax(post))
                     pred.append(own.languages[best]), score.append(float(1 / np.exp(post - post[best]).sum()))
-                    fit.append(float(logs[best] / sum(map(len, words))))
-            more = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(fit, pa.float64())]
+                    fit.append(float(logs[best] / letters[-1] - own.typical[best]) if letters[-1] >= LEAST else None)
+            more = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(fit, pa.float64()), pa.array(letters, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*columns, *names])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` double, `{names[3]}` long"])
     return docs.mapInArrow(run, schema)
 
 
+def in_a_language(docs: DataFrame, model: Model, text: str = "text", margin: float = MARGIN) -> DataFrame:
+    """The rows whose text has a letter and isn't judged to be in none of the learned languages.
+
+    If nothing was learned, no text is judged.
+    """
+    found = identify(docs, model, text)
+    fit, letters = found.columns[-2:]
+    return found.filter((q(letters) > 0) & (F.coalesce(q(fit), F.lit(0.0)) >= -margin)).select(*[q(c) for c in docs.columns])
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo FOLDS; an id that is null has none."""
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import languages as L
 from tests.llm.helpers import awkward, empty, written
@@ -87,3 +88,35 @@ def test_awkward_rows(spark, tmp_path, make):
     for r in got:
         body = next(x["text"] for x in df.collect() if x["doc_id"] == r["doc_id"])
         assert r["lang_pred"] in learned if body and any(map(str.isalpha, body)) else (r["lang_pred"], r["score"]) == ("und", 0.0)
+
+
+def learned(spark):
+    rows = [("the cat sat on the mat and the dog ran to the house by the river " * 3, "en"), ("der hund und die katze sind in dem haus an dem fluss und das ist gut " * 3, "de")]
+    return L.learn(spark.createDataFrame(rows * 5, "text string, lang string"))
+
+
+def test_texts_of_no_learned_language_are_told_apart(spark):
+    texts = ["the dog sat by the house and the river", "die katze und der hund sind an dem fluss", "xqzv kkjw qpfg zxwv bnmq wrtz pfxq", "\u044d\u0442\u043e \u0440\u0443\u0441\u0441\u043a\u0438\u0439 \u0442\u0435\u043a\u0441\u0442 \u043e\u0447\u0435\u043d\u044c \u0434\u043b\u0438\u043d\u043d\u044b\u0439", "ok xq", "", None, "123 !!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in L.in_a_language(df, learned(spark)).collect()) == [0, 1, 4]
+    nothing = L.learn(df.withColumn("lang", F.lit(None).cast("string")))
+    assert sorted(r["doc_id"] for r in L.in_a_language(df, nothing).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_typical_is_the_mean_over_the_learning_texts(spark):
+    m = learned(spark)
+    for k, text in (("en", "the cat sat on the mat and the dog ran to the house by the river"), ("de", "der hund und die katze sind in dem haus an dem fluss und das ist gut")):
+        i, words = m.languages.index(k), text.split()
+        assert abs(m.typical[i] - m.log_probabilities(words)[:, i].sum() / sum(map(len, words))) < 1e-5
+
+
+def test_every_language_is_learned(spark):
+    word = lambda i: "".join(chr(97 + (i // 26**k) % 26) for k in range(2))
+    rows = [(i, f"{word(i)}q {word(i)}z {word(i)}x " * 4, f"l{i:03d}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = L.learn(df)
+    assert len(m.languages) == 300
+    got = L.identify(df, m).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) > 290
+    with pytest.raises(ValueError):
+        L.learn(df, most_languages=256)
