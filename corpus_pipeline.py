@@ -16,10 +16,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from all documents with a language; rejects those that have no letter or text, which have no language."""
-    found = languages.identify(docs, languages.learn(docs))
-    pred = found.columns[len(docs.columns)]
-    return found.filter(common.q(pred) != "und").select(docs.columns)
+    """Learns from all documents with a language; rejects those without a letter and those that fit none of the languages.
+
+    Short texts, and all texts with a letter if no document has a language, stay.
+    """
+    return languages.in_a_language(docs, languages.learn(docs)).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
