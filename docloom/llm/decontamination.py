@@ -1,13 +1,14 @@
 """Benchmark decontamination: token windows of the training texts against a broadcast set of test n-grams.
 
 Words are runs of ASCII letters and digits and of any other characters beyond ASCII, with A-Z lower-cased. An item's
-windows are its runs of 10 words; an item of fewer words, but not none, is one window. The windows of a block of items
+windows are its runs of 10 words; an item of fewer words, but not none, is one window. The items' windows
 are broadcast as a table from the words to numbers and one from hashes of windows to the windows; a document's words
 are looked up, hashes of its windows are found in the set, and every hit is verified word by word before it counts.
 
-The benchmark goes to the executors in blocks of at most BLOCK_BYTES bytes of text, one after the other, so what is broadcast
-is bounded however large it grows (a single item is never split). With more than one block the hits of a document are
-united by one grouping of its hits, not of its text.
+Only items of together at most BROADCAST_BYTES bytes of text are broadcast. A larger benchmark stays distributed: its windows'
+hashes make a bitmap of a fixed 32 MB, which is broadcast instead; what passes it of the documents' windows is
+joined to the items' windows, by their words, with one pass over the documents however large the benchmark is. Windows that
+many documents have are dealt over many places.
 
 Null text has no words, and neither has null item text; such items occur nowhere. Items of one id are one item; the
 words of an item without an id are hit, but it is not listed. Repeated rows each get the same result; documents without
@@ -22,13 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import durable, fresh, q, read, sliced
+from docloom.llm.common import durable, fresh, let, q, read, running, sliced, spread_join
 
 N = 10
-BLOCK_BYTES = 8 << 20
+BROADCAST_BYTES = 8 << 20
+BITS = 28
 WORD = re.compile(rb"[0-9a-z\x80-\xFF]+")  # of UTF-8, in which all characters beyond ASCII have such bytes only
 
 
@@ -93,69 +96,100 @@ class Windows:
         return len(words), np.flatnonzero(inside == 1).tolist(), np.flatnonzero(inside == -1).tolist(), found
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, most: int) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The items in blocks of at most `most` bytes of text; the driver holds one block at a time."""
-    block, size = [], 0
-    for item, body in items.select(q(item_id).cast("string"), q(text)).toLocalIterator():
-        n = len((body or "").encode())
-        if block and size + n > most:
-            yield block
-            block, size = [], 0
-        block.append((item, body))
-        size += n
-    yield block
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, 50):
+        items, windows, hashes, sizes = [], [], [], []
+        for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+            words = words_of(text)
+            size = min(N, len(words))
+            own = Windows.hashes(_word_hashes(words), size) if size else ()
+            for i, h in enumerate(own):
+                items.append(item), windows.append(b" ".join(words[i : i + size])), hashes.append(int(h) - (1 << 63)), sizes.append(size)
+        yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(windows, pa.binary()), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32())], names=["item", "window", "hash", "size"])
 
 
-def benchmark_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
+
+
+def _bitmap(windows: DataFrame) -> np.ndarray:
+    """The hashes that occur, as 2**BITS bits; the driver gets them in pieces of 4 KB that were put together by the tasks."""
+    bit = F.pmod("hash", F.lit(1 << BITS)) + 1
+    pieces = windows.groupBy(F.bitmap_bucket_number(bit).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out = np.zeros((1 << BITS) // 8, dtype=np.uint8)
+    for r in pieces:  # numbered from 1
+        own = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+        out[(r["piece"] - 1) * len(own) : r["piece"] * len(own)] = own
+    return out
+
+
+def _candidates(shared, sizes: list[int], row: str, text: str):
+    """(row, start, size, window) of the windows whose hashes the bitmap has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in sliced(batches, 50):
+            rows, starts, lengths, windows = [], [], [], []
+            for i, body in enumerate(batch.column(text).to_pylist()):
+                words = words_of(body)
+                own = _word_hashes(words)
+                for size in sizes:
+                    if len(words) >= size:
+                        at = (Windows.hashes(own, size) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+                        for start in np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist():
+                            rows.append(i), starts.append(start), lengths.append(size), windows.append(b" ".join(words[start : start + size]))
+            yield pa.RecordBatch.from_arrays([batch.column(row).take(pa.array(rows, pa.int32())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(windows, pa.binary())], names=["row", "b", "size", "window"])
+
+    return run
+
+
+def benchmark_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """All columns of docs and n_words, n_hit, hit_begins, hit_ends (in words) and hit_items (sorted strings)."""
     spark = docs.sparkSession
     names = fresh(docs, "n_words", "n_hit", "hit_begins", "hit_ends", "hit_items", "decon_row")
     out, row = names[:5], names[5]
     kinds = ["long", "long", "array<long>", "array<long>", "array<string>"]
 
-    def scan(df: DataFrame, block: list, columns: list[str]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Windows(block))
+    def scan(df: DataFrame, own: list) -> DataFrame:
+        shared, columns = spark.sparkContext.broadcast(Windows(own)), df.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = shared.value
             for batch in sliced(batches):
-                rows = [windows.hits(t) for t in batch.column(batch.schema.names.index(text)).to_pylist()]
+                rows = [windows.hits(t) for t in batch.column(columns.index(text)).to_pylist()]
                 more = [pa.array([r[0] for r in rows], pa.int64()), pa.array([sum(r[2]) - sum(r[1]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([sorted(r[3]) for r in rows], pa.list_(pa.string()))]
-                kept = [batch.column(batch.schema.names.index(c)) for c in columns]
-                yield pa.RecordBatch.from_arrays([*kept, *more], names=[*columns, *out])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*columns, *out])
 
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in columns), *(f"`{c}` {k}" for c, k in zip(out, kinds))])
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{c}` {k}" for c, k in zip(out, kinds))])
         return df.mapInArrow(run, schema)
 
-    blocks = _blocks(items, item_id, item_text, block_bytes)
-    first, second = next(blocks), next(blocks, None)
-    if second is None:
-        return scan(docs, first, docs.columns)
-    numbered = durable(docs.withColumn(row, F.monotonically_increasing_id()))
-    slim = numbered.select(row, q(text))
-    found = None
-    for block in [first, second]:
-        part = scan(slim, block, [row]).filter(F.size(out[2]) > 0)
-        found = part if found is None else found.unionByName(part)
-    for block in blocks:
-        found = found.unionByName(scan(slim, block, [row]).filter(F.size(out[2]) > 0))
-    spans = F.flatten(F.collect_list(F.arrays_zip(q(out[2]).alias("b"), q(out[3]).alias("e"))))
-
-    def unite(spans):
-        empty = F.array().cast("array<struct<b:bigint,e:bigint>>")
-
-        def add(acc, x):
-            last = F.try_element_at(acc, F.lit(-1))
-            longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["b"].alias("b"), F.greatest(last["e"], x["e"]).alias("e"))))
-            return F.when(last.isNotNull() & (last["e"] >= x["b"]), longer).otherwise(F.concat(acc, F.array(F.struct(x["b"].alias("b"), x["e"].alias("e")))))
-
-        return F.aggregate(F.array_sort(spans), empty, add)
-
-    merged = found.groupBy(row).agg(unite(spans).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(out[4])))).alias("items"))
-    counts = scan(numbered, [], numbered.columns).drop(*out[1:])
+    own = items.select(q(item_id).cast("string").alias("item"), q(item_text).alias("text"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size <= broadcast_bytes:
+        return scan(docs, [tuple(r) for r in own.filter("text <> ''").collect()])
+    windows = durable(own.mapInArrow(_item_windows, "item string, window binary, hash long, size int"))
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most N
+    numbered = durable(scan(docs.withColumn(row, F.monotonically_increasing_id()), []).drop(*out[1:]))
+    bits = spark.sparkContext.broadcast(_bitmap(windows))
+    found = durable(numbered.select(row, q(text)).mapInArrow(_candidates(bits, sizes, row, text), "row long, b long, size long, window binary"))
+    owners = windows.groupBy("window").agg(F.collect_set("item").alias("items"))
+    owners = owners.join(found.groupBy("window").agg(F.count(F.lit(1)).alias("times")), "window")
+    hits = spread_join(found, owners, "window", "row", "times", found.count()).filter("items IS NOT NULL")
+    span = F.struct("b", (F.col("b") + F.col("size")).alias("e"))
+    merged = hits.groupBy("row").agg(F.collect_set(span).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    merged = merged.select(F.col("row").alias(row), _united(F.col("spans")).alias("spans"), "items")
     merged = merged.select(row, F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["b"]).alias(out[1]), F.col("spans.b").alias(out[2]), F.col("spans.e").alias(out[3]), F.col("items").alias(out[4]))
     nothing = [F.coalesce(q(c), F.lit(0) if k == "long" else F.array().cast(k)).alias(c) for c, k in zip(out[1:], kinds[1:])]
-    return counts.join(merged, row, "left").select(*[q(c) for c in docs.columns], out[0], *nothing)
+    return numbered.join(merged, row, "left").select(*[q(c) for c in docs.columns], out[0], *nothing)
+
+
+def _united(spans: Column) -> Column:
+    """Spans that meet are one: a span begins where it is beyond the ends of all before it, and ends before the next that does."""
+    kind = "struct<b:bigint,before:bigint,e:bigint>"
+    seen = running(F.array_sort(spans), F.lit(-1).cast("long"), lambda far, x: F.greatest(far, x["e"]), lambda far, x: F.struct(x["b"].alias("b"), far.alias("before"), F.greatest(far, x["e"]).alias("e")), kind)
+    first = lambda a: F.filter(a, lambda x: x["b"] > x["before"])
+    last = lambda a: F.filter(a, lambda x, i: F.coalesce(F.get(a, i + 1)["b"] > x["e"], F.lit(True)))
+    return let(seen, lambda a: F.zip_with(first(a), last(a), lambda x, y: F.struct(x["b"].alias("b"), y["e"].alias("e"))))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 import hashlib
 import re
 
+import pytest
+
+from docloom.llm import decontamination
 from docloom.llm.decontamination import benchmark_hits, op8_decontamination
 from tests.llm.helpers import awkward, empty, sentences, written
 
@@ -46,10 +49,15 @@ def test_brute_force(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == brute([tuple(r) for r in df.collect()], ITEMS)
 
 
-def test_blocks_give_the_same(spark):
-    df, items = documents(spark), spark.createDataFrame(ITEMS, "item_id long, text string")
-    rows = [sorted(map(str, benchmark_hits(df, items, block_bytes=b).collect())) for b in (1 << 20, 20, 1)]
-    assert rows[0] == rows[1] == rows[2]
+@pytest.mark.parametrize("bits", [28, 16])
+def test_a_benchmark_beyond_the_broadcast_gives_the_same(spark, monkeypatch, bits):
+    """Also with a bitmap so small that it lets wrong windows pass."""
+    monkeypatch.setattr(decontamination, "BITS", bits)
+    texts = sentences(77, 400)
+    df = documents(spark).unionByName(spark.createDataFrame([(1000 + i, texts[i] + " one two " + texts[i + 1]) for i in range(200)], "doc_id long, text string"))
+    items = spark.createDataFrame(ITEMS + [(100 + i, texts[2 * i]) for i in range(200)], "item_id long, text string")
+    a, b = (sorted(map(str, benchmark_hits(df, items, broadcast_bytes=n).collect())) for n in (1 << 20, 100))
+    assert a == b and sum("hit_items=[]" not in x for x in a) > 100
 
 
 def test_awkward_rows_and_empty_tables(spark, tmp_path):
