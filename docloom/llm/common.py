@@ -89,18 +89,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, count: str, rows: int) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: str | list[str], by: str, count: str, rows: int) -> DataFrame:
     """Left join of `many` to the one row of each key in `one`, whose column `count` says how often `many` has the key.
 
     Keys of more than a tenth of an even partition's rows are at most ten to a partition: so few can be broadcast.
     Their rows in `many` are dealt over SPLIT places by a hash of `by`, and their row in `one` goes to all of these.
     """
     spark, salt, hot = many.sparkSession, *fresh(many, "spread_salt", "spread_hot")
-    least = max(200, rows // (10 * partitions(spark)))
-    keys = one.filter(q(count) >= least).select(q(key), F.lit(True).alias(hot))
-    dealt = many.join(F.broadcast(keys), key, "left").withColumn(salt, F.when(q(hot), F.pmod(F.xxhash64(by), F.lit(SPLIT))).otherwise(0).cast("int")).drop(hot)
+    least, on = max(200, rows // (10 * partitions(spark))), [key] if isinstance(key, str) else key
+    keys = one.filter(q(count) >= least).select(*map(q, on), F.lit(True).alias(hot))
+    dealt = many.join(F.broadcast(keys), on, "left").withColumn(salt, F.when(q(hot), F.pmod(F.xxhash64(by), F.lit(SPLIT))).otherwise(0).cast("int")).drop(hot)
     places = F.when(q(count) >= least, F.sequence(F.lit(0), F.lit(SPLIT - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(one.withColumn(salt, F.explode(places)), [key, salt], "left").drop(salt)
+    return dealt.join(one.withColumn(salt, F.explode(places)), [*on, salt], "left").drop(salt)
 
 
 def range_bounds(df: DataFrame, key: str, parts: int) -> tuple[list[int], list[int]]:

@@ -234,13 +234,13 @@ def merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets with more than one component, with their bucket's size and pivot."""
+    """The members of buckets with more than one component, with their bucket's size and pivot; large buckets over many places."""
     now, best = buckets.join(labels, "node"), F.col("score")
     state = now.groupBy("band", "key").agg(
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes_all"), F.max_by("node", best).alias("pivot"), F.max_by("comp", best).alias("pivot_comp"), F.max_by("n", best).alias("pivot_n")
     )
-    state = state.filter("low <> high").drop("low", "high")
-    return now.join(state, ["band", "key"])
+    state = durable(state.filter("low <> high").drop("low", "high"))
+    return spread_join(now, state, ["band", "key"], "node", "size", state.agg(F.sum("size")).first()[0] or 0).filter("size IS NOT NULL")
 
 
 def _star_pairs(buckets: DataFrame, labels: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
