@@ -329,8 +329,14 @@ class Dynamic(Value):
         return F.exists(items, lambda x: F.coalesce(predicate(Dynamic(x)), F.lit(False)))
 
     def key(self):
-        rank = F.coalesce(self.rank(), F.lit(NULL))
-        return key_struct(rank, F.coalesce(self.number(), self.flag().cast("double")), self.text())
+        """The type is read from the value once."""
+
+        def of(s):
+            kind = F.when(s == "STRING", STRING).when(s == "BIGINT", NUMBER).when(s == "BOOLEAN", BOOL).when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), NUMBER).otherwise(NULL)
+            number = F.when(s == "BOOLEAN", F.try_variant_get(self.c, "$", "boolean").cast("double")).when(kind == NUMBER, F.try_variant_get(self.c, "$", "double"))
+            return key_struct(kind, number, F.when(s == "STRING", F.try_variant_get(self.c, "$", "string")))
+
+        return let(F.coalesce(self._schema(), F.lit("VOID")), of)
 
     sort_column = key
 

@@ -5,13 +5,14 @@ One partial and one final hash aggregation; the order of the groups is a sort of
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.errors import BadPipeline, LimitExceeded
-from docloom.functions.values import Missing, Root, Typed, Value, checked, name, segments
+from docloom.functions.values import Dynamic, Missing, Root, Typed, Value, checked, name, segments
 from docloom.plans import filters
 
 MOST_ACCUMULATORS = 16
@@ -23,6 +24,8 @@ class Limits:
 
     candidates: int | None = None
     groups: int | None = None
+    result_bytes: int | None = None  # of the result as JSON
+    pipeline_bytes: int | None = None  # of the pipeline as JSON
 
 
 @dataclass(frozen=True)
@@ -85,8 +88,31 @@ def _sum(value: Value, out: str) -> Column:
     return F.variant_get(own, "$.v", "variant").alias(out)
 
 
+KEY = ["__rank", "__num", "__str"]
+
+
+def _keyed(rows: DataFrame, key: Column, value: Value) -> tuple[DataFrame, Column]:
+    """Rows with the fields of their key as columns, and an aggregate that tells the whole number of a group, null if none is written so.
+
+    Keys and aggregate are of fixed width or plain strings, so groups are hashed, not sorted.
+    """
+    rows = rows.withColumn("__key", key)
+    rows = rows.withColumns({"__rank": F.col("__key.rank"), "__num": F.col("__key.num"), "__str": F.col("__key.str")})
+    own = value.whole() if isinstance(value, Dynamic) else F.lit(None).cast("bigint")
+    return rows, F.min(own).alias("__whole")
+
+
+def _represented() -> Column:
+    """A group's key as VARIANT: a whole number if a member is written so."""
+    part = lambda c: F.variant_get(F.to_variant_object(F.struct(c.alias("v"))), "$.v", "variant")
+    number = F.when(F.col("__whole").isNotNull(), part(F.col("__whole"))).otherwise(part(F.col("__num")))
+    return F.when(F.col("__rank") == 1, part(F.col("__num") == 1)).when(F.col("__rank") == 2, number).when(F.col("__rank") == 3, part(F.col("__str")))
+
+
 def aggregate(df: DataFrame, pipeline, root: Root | None = None, limits: Limits = Limits()) -> DataFrame:
     """`_id` and the accumulators, in the order of `_id`. No rows give no group, not even for _id null."""
+    if limits.pipeline_bytes is not None and len(json.dumps(pipeline, default=str).encode()) > limits.pipeline_bytes:
+        raise LimitExceeded("the pipeline is too long")
     own, root = parse(pipeline), root or Root(df.schema)
     rows = df if own.match == filters.All(()) else df.filter(filters.compile_filter(own.match, root))
     if limits.candidates is not None and rows.limit(limits.candidates + 1).count() > limits.candidates:
@@ -104,13 +130,20 @@ def aggregate(df: DataFrame, pipeline, root: Root | None = None, limits: Limits
             out = rows.groupBy(F.lit(None).cast("string").alias("_id")).agg(*sums).select("_id", *map(name, names))
         else:
             key = checked(value.scalar(), "a group key is a scalar or null", value.key())
-            first = F.min_by(value.column(), name(root.id_column)) if root.id_column in df.columns else F.any_value(value.column())
-            out = rows.groupBy(key.alias("_key")).agg(first.alias("_id"), *sums).orderBy("_key").select("_id", *map(name, names))
+            keyed, whole = _keyed(rows, key, value)
+            out = keyed.groupBy(*KEY).agg(whole, *sums).orderBy(*KEY).select(_represented().alias("_id"), *map(name, names))
     if limits.groups is not None and out.limit(limits.groups + 1).count() > limits.groups:
         raise LimitExceeded("too many groups")
+    if limits.result_bytes is not None and (out.select(json_bytes(out).alias("n")).agg(F.sum("n")).first()[0] or 0) > limits.result_bytes:
+        raise LimitExceeded("the result is too large")
     return out
 
 
+def json_bytes(df: DataFrame) -> Column:
+    """Bytes of a row as JSON."""
+    return F.octet_length(F.to_json(F.struct(*map(name, df.columns)))).cast("bigint")
+
+
 def count(df: DataFrame, filt=None, root: Root | None = None) -> DataFrame:
     """One row with `n`."""
     return df.filter(filters.compile_filter(filt, root or Root(df.schema))).agg(F.count(F.lit(1)).alias("n"))
@@ -122,13 +155,14 @@ def distinct(df: DataFrame, path: str, filt=None, root: Root | None = None) -> D
     rows, value = df.filter(filters.compile_filter(filt, root)), root.get(path)
     if isinstance(value, Typed) and value.rank is not None:
         return rows.select(value.column().alias("value")).distinct().orderBy(F.col("value").asc_nulls_first())
-    first = F.min_by(value.column(), name(root.id_column)) if root.id_column in df.columns else F.any_value(value.column())
-    return rows.groupBy(value.key().alias("_key")).agg(first.alias("value")).orderBy("_key").select("value")
+    keyed, whole = _keyed(rows, value.key(), value)
+    return keyed.groupBy(*KEY).agg(whole).orderBy(*KEY).select(_represented().alias("value"))
 
 
 def stats(df: DataFrame, filt=None, root: Root | None = None) -> DataFrame:
-    """Scanned and matched rows, in one pass."""
-    return df.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(filters.matches(filt, root or Root(df.schema))).alias("matched"))
+    """Scanned and matched rows and the bytes of these as JSON, in one pass."""
+    hit = filters.matches(filt, root or Root(df.schema))
+    return df.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(hit).alias("matched"), F.coalesce(F.sum(F.when(hit, json_bytes(df))), F.lit(0)).alias("result_bytes"))
 
 
 def fan_out(df: DataFrame, fk: list[str]) -> DataFrame:

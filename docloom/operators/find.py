@@ -61,6 +61,12 @@ def find_one(df: DataFrame, filt=None, sort=None, project=None, root: Root | Non
     return find(df, filt, sort, project, limit=1, root=root)
 
 
+def find_first_id(df: DataFrame, filt=None, root: Root | None = None) -> DataFrame:
+    """The lowest id of a match: one row, or none."""
+    root = root or Root(df.schema)
+    return df.filter(filters.compile_filter(filt, root)).select(name(root.id_column)).orderBy(name(root.id_column)).limit(1)
+
+
 def find_ids(df: DataFrame, filt=None, most: int | None = None, root: Root | None = None) -> DataFrame:
     """The ids of all matches; an error if there are more than `most`."""
     root = root or Root(df.schema)
@@ -89,19 +95,54 @@ def _before(root: Root, keys: list[tuple[str, bool]], bound: list, inclusive: bo
     return reduce(or_, steps + ([same] if inclusive else []), F.lit(False))
 
 
-def index_range(df: DataFrame, keys, lo: list | None = None, hi: list | None = None, limit: int = 0, ids_only: bool = False, root: Root | None = None) -> DataFrame:
+def index_range(df: DataFrame, keys, lo: list | None = None, hi: list | None = None, limit: int = 0, ids_only: bool = False, root: Root | None = None, cursor: str | None = None, keyed: bool = False) -> DataFrame:
     """Rows from lo (inclusive) to hi (exclusive) in the order of the index keys; bounds may be prefixes.
 
-    The bounds of a descending key are in index order: lo is the larger value.
+    The bounds of a descending key are in index order: lo is the larger value. With `keyed` rows have `_sort`, from which
+    cursor_after makes a token; with a token as `cursor` the range goes on after that row.
     """
     root, keys = root or Root(df.schema), directions(keys)
     if lo:
         df = df.filter(~_before(root, keys, lo, False))
     if hi:
         df = df.filter(_before(root, keys, hi, False))
+    if cursor:
+        df = df.filter(_after(root, keys, read_cursor(cursor)))
+    if keyed:
+        df = df.withColumn("_sort", _sort_keys(root, keys))
     df = df.orderBy(*order([(p, 1 if up else -1) for p, up in keys], root))
     df = df.limit(limit) if limit else df
-    return df.select(name(root.id_column)) if ids_only else df
+    return df.select(name(root.id_column), *(["_sort"] if keyed else [])) if ids_only else df
+
+
+def offset_cursor(offset: int, seq: int | None = None) -> str:
+    """The token of the place after so many rows of a snapshot."""
+    return base64.urlsafe_b64encode(json.dumps({"seq": seq, "offset": offset}).encode()).decode()
+
+
+def offset_page(df: DataFrame, filt=None, sort=None, size: int = 100, cursor: str | None = None, root: Root | None = None, project=None) -> DataFrame:
+    """The page at an offset's token; offset_cursor with `size` more gives the next."""
+    at = read_cursor(cursor).get("offset") if cursor else 0
+    if not isinstance(at, int) or at < 0:
+        raise BadQuery("not an offset cursor")
+    return find(df, filt, sort, project, at, size, root)
+
+
+def _sort_keys(root: Root, keys: list[tuple[str, bool]]) -> Column:
+    return F.array(*[root.get(p).key() for p, _ in keys]) if keys else F.array().cast("array<struct<rank:tinyint,num:double,str:string>>")
+
+
+def _after(root: Root, own: list[tuple[str, bool]], at: dict) -> Column:
+    """Rows after the place of a token, in the order of the sort and then `_id`."""
+    steps, same = [], F.lit(True)
+    if len(at.get("keys", ())) != len(own):
+        raise BadQuery("the cursor is of another sort")
+    for (path, up), (rank, num, text) in zip(own, at["keys"]):
+        key = root.get(path).key()
+        bound = F.struct(F.lit(rank).cast("tinyint").alias("rank"), F.lit(num).cast("double").alias("num"), F.lit(text).cast("string").alias("str"))
+        steps.append(same & (key > bound if up else key < bound))
+        same = same & key.eqNullSafe(bound)
+    return reduce(or_, [*steps, same & (name(root.id_column) > F.lit(at["id"]))])
 
 
 def cursor_after(row, sort, root: Root, seq: int | None = None) -> str:
@@ -123,14 +164,7 @@ def page(df: DataFrame, filt=None, sort=None, size: int = 100, cursor: str | Non
     """The next page in sort order, with `_sort`, from which cursor_after makes the next token."""
     root, own = root or Root(df.schema), directions(sort)
     out = df.filter(filters.compile_filter(filt, root))
-    keys = [root.get(p).key() for p, _ in own]
     if cursor:
-        at = read_cursor(cursor)
-        steps, same = [], F.lit(True)
-        for (_, up), key, (rank, num, text) in zip(own, keys, at["keys"]):
-            bound = F.struct(F.lit(rank).cast("tinyint").alias("rank"), F.lit(num).cast("double").alias("num"), F.lit(text).cast("string").alias("str"))
-            steps.append(same & (key > bound if up else key < bound))
-            same = same & key.eqNullSafe(bound)
-        out = out.filter(reduce(or_, [*steps, same & (name(root.id_column) > F.lit(at["id"]))]))
-    out = out.withColumn("_sort", F.array(*keys) if keys else F.array().cast("array<struct<rank:tinyint,num:double,str:string>>"))
+        out = out.filter(_after(root, own, read_cursor(cursor)))
+    out = out.withColumn("_sort", _sort_keys(root, own))
     return out.orderBy(*order(sort, root)).limit(size)

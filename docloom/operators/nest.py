@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.errors import LimitExceeded
 from docloom.functions.values import Root, name
 
 
@@ -22,13 +23,22 @@ def _joined(parent: DataFrame, child: DataFrame, pk: list[str]) -> DataFrame:
     return parent.join(child, on, "left").drop(*[f"__k{i}" for i in range(len(pk))])
 
 
+def _bounded(child: DataFrame, fk: list[str], most: int | None) -> None:
+    if most is not None and not child.dropna(subset=fk).groupBy(*map(name, fk)).count().filter(F.col("count") > most).isEmpty():
+        raise LimitExceeded(f"a parent has more than {most} children")
+
+
 def _in_order(items: Column) -> Column:
     """By `at` alone, since items may have fields (VARIANT) without an order."""
     return F.array_sort(items, lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
 
 
-def nest_many(parent: DataFrame, child: DataFrame, pk: list[str], fk: list[str], into: str, position: list[str], fields: list[str] | None = None) -> DataFrame:
-    """1:N: the children as an array in the order of `position`; empty if there is none or the key is null."""
+def nest_many(parent: DataFrame, child: DataFrame, pk: list[str], fk: list[str], into: str, position: list[str], fields: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """1:N: the children as an array in the order of `position`; empty if there is none or the key is null.
+
+    `most`: a parent with more children is an error, found by a count before any list is made.
+    """
+    _bounded(child, fk, most)
     own = fields or [c for c in child.columns if c not in fk]
     item = F.struct(F.struct(*map(name, position)).alias("at"), F.struct(*map(name, own)).alias("item"))
     lists = child.dropna(subset=fk).groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(_keys(fk))]).agg(F.transform(_in_order(F.collect_list(item)), lambda x: x["item"]).alias(into))
@@ -48,8 +58,9 @@ def snapshot_lookup(rows: DataFrame, shared: DataFrame, fk: list[str], pk: list[
     return nest_one(rows, shared, fk, pk, into, position, fields or shared.columns)
 
 
-def dissolve(host: DataFrame, links: DataFrame, pk: list[str], host_fk: list[str], other_fk: list[str], into: str, position: list[str]) -> DataFrame:
-    """M:N: the ids of the other side, in the order of `position`; composite ids are joined with `:`."""
+def dissolve(host: DataFrame, links: DataFrame, pk: list[str], host_fk: list[str], other_fk: list[str], into: str, position: list[str], most: int | None = None) -> DataFrame:
+    """M:N: the ids of the other side, in the order of `position`; composite ids are joined with `:`. `most` as in nest_many."""
+    _bounded(links, host_fk, most)
     other = F.concat_ws(":", *[k.cast("string") for k in _keys(other_fk)])
     item = F.struct(F.struct(*map(name, position)).alias("at"), other.alias("id"))
     lists = links.dropna(subset=[*host_fk, *other_fk]).groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(_keys(host_fk))]).agg(F.transform(_in_order(F.collect_list(item)), lambda x: x["id"]).alias(into))

@@ -1,11 +1,16 @@
 """Versions of documents: newest per key, snapshots at a sequence number or time, expiry, compaction, change feeds.
 
 A change row has `_id`, `_seq`, `_ord`, `op` ('upsert' or 'delete'), a body and `_expires_at` (unix ms; null or 0: never).
-The newest version is a max_by, which combines before the shuffle; no window, no sort by key.
+A change is told from all others by its key, `_seq` and `_ord`. The newest versions' numbers are found by a hash aggregate
+over keys and numbers alone, which combines before the shuffle; bodies are then met by a hash join with these: no window, and no
+sort of bodies.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +25,16 @@ def alive(now_ms: int | Column, expires: str = "_expires_at") -> Column:
     return F.coalesce(name(expires), F.lit(0)).isin(0) | (now <= name(expires))
 
 
-def newest(changes: DataFrame, key: str = "_id", order: list[str] | None = None) -> DataFrame:
+def newest(changes: DataFrame, key: str | list[str] = "_id", order: list[str] | None = None) -> DataFrame:
     """The newest version of each key, deletes included."""
-    order = order or [c for c in CHANGE if c in changes.columns]
-    rest = [c for c in changes.columns if c != key]
-    own = F.max_by(F.struct(*map(name, rest)), F.struct(*map(name, order)) if len(order) > 1 else name(order[0]))
-    return changes.groupBy(name(key)).agg(own.alias("__v")).select(name(key), *[F.col("__v").getField(c).alias(c) for c in rest]).select(*map(name, changes.columns))
+    keys, order = [key] if isinstance(key, str) else key, order or [c for c in CHANGE if c in changes.columns]
+    place = name(order[0]).cast("decimal(38,0)")
+    for c in order[1:]:
+        place = place * F.lit(str(1 << 63)).cast("decimal(20,0)") + name(c)
+    place = place.cast("decimal(38,0)")  # a number of fixed width, which a hash aggregate can hold
+    last = changes.groupBy(*[name(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.max(place).alias("__place"))
+    same = [name(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return changes.join(last.hint("shuffle_hash"), reduce(and_, same, place == F.col("__place")), "left_semi")
 
 
 def snapshot(changes: DataFrame, seq: int | None = None, now_ms: int | None = None, key: str = "_id", order: list[str] | None = None) -> DataFrame:

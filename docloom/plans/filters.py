@@ -12,7 +12,9 @@ from functools import reduce
 from operator import and_, or_
 from typing import Any
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.errors import BadFilter
@@ -132,12 +134,13 @@ def regex(pattern: Any, options: Any) -> str:
         in_class += (c == "[") - (c == "]" and in_class > 0)
         out.append(r"\z" if c == "$" and not in_class else c)
         i += 1
-    body = "".join(out)
-    try:
-        re.compile(pattern)
-    except re.error as e:
-        raise BadFilter(f"bad pattern: {e}") from e
-    return ("(?iuUd)" if options else "(?Ud)") + body
+    body = ("(?iuUd)" if options else "(?Ud)") + "".join(out)
+    spark = SparkSession.getActiveSession()
+    try:  # Java's matcher runs the pattern, so it judges it; Python's does where there is no session
+        spark._jvm.java.util.regex.Pattern.compile(body) if spark else re.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException, re.error) as e:
+        raise BadFilter(f"bad pattern {pattern!r}") from e
+    return body
 
 
 def compile_filter(filt: Any, root: Root | Element) -> Column:

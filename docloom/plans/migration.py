@@ -148,6 +148,16 @@ def converted(t: Table, columns: list[str] | None = None) -> list[Column]:
     return [convert.convert(name(c), kind).alias(c) for c, kind in t.columns.items() if columns is None or c in columns]
 
 
+def _with_present(doc: Column, more: dict[str, Column]) -> Column:
+    """The object with those of the fields that aren't null; a miss leaves no field behind."""
+    if not more:
+        return doc
+    part = lambda c: F.variant_get(F.to_variant_object(F.struct(c.alias("v"))), "$.v", "variant")
+    kept = lambda k, c: F.map_filter(F.create_map(F.lit(k), part(c)), lambda _, v: c.isNotNull())
+    present = [kept(k, c) for k, c in more.items()]
+    return F.to_variant_object(F.map_concat(F.variant_get(doc, "$", "map<string,variant>"), *present))
+
+
 def documents(tables: dict[str, Table], plan: CollectionPlan) -> DataFrame:
     """`_id` (string) and `body` (VARIANT) of one collection."""
     t = tables[plan.name]
@@ -159,8 +169,8 @@ def documents(tables: dict[str, Table], plan: CollectionPlan) -> DataFrame:
             ref = tables[fk.table]
             shared = ref.rows.select(POSITION, *[name(c).alias(f"__p{i}") for i, c in enumerate(fk.parent_columns)], F.struct(*converted(ref)).alias("__ref"))
             own = nest.snapshot_lookup(own, shared, fk.columns, [f"__p{i}" for i in range(len(fk.parent_columns))], f"__s_{fk.table}", [POSITION], ["__ref"])
-        fields = [*converted(child), *[F.col(f"`__s_{fk.table}`.__ref").alias(fk.table) for fk in e.snapshots]]
-        own = own.select(POSITION, *[name(c).alias(f"__f{i}") for i, c in enumerate(e.key.columns)], F.to_variant_object(F.struct(*fields)).alias("__doc"))
+        doc = _with_present(F.to_variant_object(F.struct(*converted(child))), {fk.table: F.col(f"`__s_{fk.table}`.__ref") for fk in e.snapshots})
+        own = own.select(POSITION, *[name(c).alias(f"__f{i}") for i, c in enumerate(e.key.columns)], doc.alias("__doc"))
         keys = [f"__f{i}" for i in range(len(e.key.columns))]
         if e.one_to_one:
             out = nest.nest_one(out, own, e.key.parent_columns, keys, f"__e_{e.child}", [POSITION], ["__doc"])

@@ -50,14 +50,27 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Written beside and renamed into place; an older file of the name goes first."""
+def size(spark: SparkSession, path: str) -> int:
     fs, p = _at(spark, path)
-    beside = f"{path}.{uuid.uuid4().hex}"
-    out = fs.create(_at(spark, beside)[1])
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    return sorted(int(n[:-5]) for n in names(spark, folder) if n.endswith(".json") and n[:-5].isdigit())
+
+
+def publish(spark: SparkSession, folder: str, version: int, text: str) -> bool:
+    """A small file under a number that must be free: written beside and renamed, so readers see all of it or nothing.
+
+    Older versions stay until the caller deletes them; False if the number is taken.
+    """
+    beside = f"{folder}/.{uuid.uuid4().hex}"
+    out = (at := _at(spark, beside))[0].create(at[1])
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    fs.delete(p, False)
-    fs.rename(_at(spark, beside)[1], p)
+    if rename(spark, beside, f"{folder}/{version:012d}.json"):
+        return True
+    delete(spark, beside)
+    return False

@@ -178,6 +178,8 @@ def read_dump(spark: SparkSession, path: str) -> dict[str, Table]:
     outside = lines
     for inside in within:
         outside = outside.filter(~inside)
+    if not outside.filter(F.upper("line").startswith("INSERT INTO ")).isEmpty():  # else all rows would come to the driver
+        raise BadDump("rows as INSERT; dump with COPY")
     tables = schema("\n".join(r["line"] for r in outside.orderBy("at").collect()))
     for name, columns, start, end in blocks:
         own = tables.get(name)

@@ -3,6 +3,10 @@
 A commit writes its rows to a staging folder and publishes them by one rename to changes/c=<seq>, for all collections
 in it at once. Everything read is a filter over the changelog and the newest version of each key. One writer is
 assumed. Expiry is judged by one time for each read.
+
+The catalog is a series of numbered files, of which the last counts; each is written beside and renamed to a name that is
+free. Compaction writes a base folder, publishes it by the next catalog, and only then deletes what the base stands
+for; whoever stops in between leaves files that nobody reads. States and feeds from before the base are errors.
 """
 
 from __future__ import annotations
@@ -31,7 +35,8 @@ for _name, _kind in [("_id", T.StringType()), ("_seq", T.LongType()), ("_ord", T
     CHANGES.add(_name, _kind)
 ROW = ["_id", "op", "body", "_expires_at", "key", "value"]
 KV = "_kv"
-MOST_INDEX_FIELDS, MOST_BATCH, MOST_TX_OPS, TX_SECONDS = 64, 1024, 256, 30
+MOST_INDEX_FIELDS, MOST_BATCH, MOST_TX_OPS, TX_SECONDS, MOST_TX_BYTES = 64, 1024, 256, 30, 32 << 20
+FORBIDDEN = {"find", "find_one", "find_ids", "update_one", "update_many", "delete_one", "delete_many", "count_documents", "distinct", "aggregate", "index_range", "create_index", "drop_collection"}
 
 
 def now_ms() -> int:
@@ -42,15 +47,24 @@ class Engine:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         files.make(spark, f"{self.path}/changes")
-        at = f"{self.path}/_catalog.json"
-        if files.exists(spark, at):
-            self.catalog = json.loads(files.read_text(spark, at))
+        files.make(spark, f"{self.path}/_catalog")
+        found = files.versions(spark, f"{self.path}/_catalog")
+        self.version = found[-1] if found else 0
+        if found:
+            self.catalog = json.loads(files.read_text(spark, f"{self.path}/_catalog/{self.version:012d}.json"))
         else:
-            self.catalog = {"id": uuid.uuid4().hex, "collections": {}, "kept_from": 0}
+            self.catalog = {"id": uuid.uuid4().hex, "collections": {}, "kept_from": 0, "kept_ordinals": {}, "base": None}
             self.save()
 
     def save(self) -> None:
-        files.write_text(self.spark, f"{self.path}/_catalog.json", json.dumps(self.catalog))
+        """The next version of the catalog; the one before stays, older ones go."""
+        at = f"{self.path}/_catalog"
+        if not files.publish(self.spark, at, self.version + 1, json.dumps(self.catalog)):
+            raise Conflict("another writer has changed the catalog")
+        self.version += 1
+        for old in files.versions(self.spark, at):
+            if old < self.version - 1:
+                files.delete(self.spark, f"{at}/{old:012d}.json")
 
     def collection(self, name: str) -> Collection:
         if not name or "/" in name or name == KV:
@@ -71,14 +85,24 @@ class Engine:
     def pairs(self) -> KeyValueStore:
         return KeyValueStore(self)
 
-    def transaction(self) -> Transaction:
-        return Transaction(self)
+    def transaction(self, seconds: float = TX_SECONDS) -> Transaction:
+        return Transaction(self, seconds=seconds)
 
     def last_seq(self) -> int:
-        return max((int(n[2:]) for n in files.names(self.spark, f"{self.path}/changes") if n.startswith("c=")), default=0)
+        return max(self._commits(), default=self.catalog["kept_from"])
+
+    def _commits(self) -> list[int]:
+        """Sequence numbers of the commits after the base, in order."""
+        own = (int(n[2:]) for n in files.names(self.spark, f"{self.path}/changes") if n.startswith("c="))
+        return sorted(c for c in own if c > self.catalog["kept_from"])
 
     def changes(self, collection: str | None = None) -> DataFrame:
-        out = self.spark.read.schema(CHANGES).option("basePath", f"{self.path}/changes").parquet(f"{self.path}/changes")
+        """The base's rows, with the base's place as `c`, and all commits after it."""
+        out, base, mark = self.spark.read.schema(CHANGES).option("basePath", f"{self.path}/changes").parquet(f"{self.path}/changes"), self.catalog["base"], self.catalog["kept_from"]
+        if base:
+            own = T.StructType([f for f in CHANGES if f.name != "c"])
+            kept = self.spark.read.schema(own).parquet(f"{self.path}/base/{base}").withColumn("c", F.lit(mark).cast("bigint"))
+            out = kept.select(*CHANGES.names).unionByName(out.filter(F.col("c") > mark))
         return out.filter(F.col("collection") == collection) if collection is not None else out
 
     def commit(self, parts: dict[str, DataFrame]) -> int:
@@ -94,13 +118,19 @@ class Engine:
             raise Conflict("another commit has this sequence number")
         return seq
 
+    def readable(self, seq: int | None) -> int | None:
+        """The sequence number, if the state there is still whole."""
+        if seq is not None and seq < self.catalog["kept_from"]:
+            raise Conflict(f"the state at {seq} is gone: what is kept begins at {self.catalog['kept_from']}")
+        return seq
+
     def seq_at(self, when) -> int:
         """The sequence number that restores the state at a time; 0 if that was before the first commit."""
         return versions.seq_at(self.changes(), when).first()["seq"] or 0
 
     def snapshot_to(self, path: str, seq: int | None = None) -> int:
         """A copy of the state at a sequence number, as an engine of its own with one commit."""
-        seq = self.last_seq() if seq is None else seq
+        seq = self.last_seq() if seq is None else self.readable(seq)
         other = Engine(self.spark, path)
         parts = {n: versions.snapshot(self.changes(n), seq, now_ms()) for n in [*self.catalog["collections"], KV]}
         other.catalog["collections"] = json.loads(json.dumps(self.catalog["collections"]))
@@ -112,20 +142,39 @@ class Engine:
 
     def compact(self, watermark: int | None = None) -> None:
         """Older versions, deletes and expired documents up to the watermark go; feeds can resume after it only."""
-        mark = self.last_seq() if watermark is None else watermark
-        older = [n for n in files.names(self.spark, f"{self.path}/changes") if n.startswith("c=") and int(n[2:]) <= mark]
-        if not older:
+        mark = min(self.last_seq(), self.last_seq() if watermark is None else watermark)
+        old = self.catalog["base"]
+        if mark <= self.catalog["kept_from"]:
             return
-        staging = f"{self.path}/staging/{uuid.uuid4().hex}"
-        base = self.changes().filter(F.col("c") <= mark)
-        kept = base.groupBy("collection", "_id").agg(F.max_by(F.struct(*[F.col(c.name) for c in CHANGES if c.name not in ("_id", "collection", "c")]), F.struct("_seq", "_ord")).alias("v"))
-        kept = kept.select("collection", "_id", "v.*").filter("op <> 'delete'").filter(versions.alive(now_ms()))
-        kept.select(*[c.name for c in CHANGES if c.name != "c"]).write.partitionBy("collection").parquet(staging)
-        self.catalog["kept_from"] = max(self.catalog["kept_from"], mark)
-        self.save()
-        for n in older:
-            files.delete(self.spark, f"{self.path}/changes/{n}")
-        files.rename(self.spark, staging, f"{self.path}/changes/c={mark:020d}")
+        seen = self.changes().filter(F.col("c") <= mark)
+        ends = seen.filter(F.col("_seq") == mark).groupBy("collection").agg(F.max("_ord").alias("n")).collect()
+        kept = versions.newest(seen, ["collection", "_id"]).filter("op <> 'delete'").filter(versions.alive(now_ms()))
+        base = uuid.uuid4().hex
+        kept.select(*[c for c in CHANGES.names if c != "c"]).write.partitionBy("collection").parquet(f"{self.path}/base/{base}")
+        self.catalog = {**self.catalog, "base": base, "kept_from": mark, "kept_ordinals": {r["collection"]: r["n"] for r in ends}}
+        self.save()  # from here on the base counts
+        for n in files.names(self.spark, f"{self.path}/changes"):
+            if n.startswith("c=") and int(n[2:]) <= mark:
+                files.delete(self.spark, f"{self.path}/changes/{n}")
+        for n in files.names(self.spark, f"{self.path}/base"):
+            if n != base:
+                files.delete(self.spark, f"{self.path}/base/{n}")
+
+    def retain(self, most_age_ms: int | None = None, most_bytes: int | None = None, now: int | None = None) -> None:
+        """Compacts the oldest commits, so that those kept for feeds are younger and together smaller than this."""
+        commits, mark, size = self._commits(), self.catalog["kept_from"], 0
+        if most_bytes is not None:
+            for c in reversed(commits):
+                size += files.size(self.spark, f"{self.path}/changes/c={c:020d}")
+                if size > most_bytes:
+                    mark = max(mark, c)
+                    break
+        if most_age_ms is not None:
+            cut = (now_ms() if now is None else now) - most_age_ms
+            old = self.changes().filter((F.col("c") > self.catalog["kept_from"]) & (F.unix_millis("_ts") < cut)).agg(F.max("c")).first()[0]
+            mark = max(mark, old or 0)
+        if mark > self.catalog["kept_from"]:
+            self.compact(mark)
 
     def drop_tenant(self, prefix: str) -> None:
         """Every collection and pair whose name or key starts with the prefix."""
@@ -181,7 +230,7 @@ class Collection:
 
     def state(self, seq: int | None = None, now: int | None = None) -> DataFrame:
         """_id, body, _rev, _expires_at of the documents visible at a sequence number."""
-        own = versions.snapshot(self.engine.changes(self.name), seq, now_ms() if now is None else now)
+        own = versions.snapshot(self.engine.changes(self.name), self.engine.readable(seq), now_ms() if now is None else now)
         return own.select("_id", "body", F.col("_seq").alias("_rev"), "_expires_at")
 
     def find(self, filt=None, sort=None, projection=None, skip: int = 0, limit: int = 0, seq: int | None = None) -> DataFrame:
@@ -215,11 +264,32 @@ class Collection:
         rows = own.select("_id", "_sort", F.to_json("body").alias("j")).collect()
         return [json.loads(r["j"]) for r in rows], Q.cursor_after(rows[-1], sort, self.root, seq) if len(rows) == size else None
 
-    def index_range(self, index: str, lo=None, hi=None, limit: int = 0, ids_only: bool = False) -> DataFrame:
+    def offset_page(self, filt=None, sort=None, size: int = 100, cursor: str | None = None) -> tuple[list, str | None]:
+        """As page(), with a token that counts rows of the first page's snapshot."""
+        at = Q.read_cursor(cursor) if cursor else {"seq": self.engine.last_seq(), "offset": 0}
+        own = Q.offset_page(self.state(at["seq"]), filt, sort, size, cursor, self.root)
+        found = list(self._documents(own))
+        return found, Q.offset_cursor(at["offset"] + size, at["seq"]) if len(found) == size else None
+
+    def find_first_id(self, filt=None) -> str | None:
+        row = Q.find_first_id(self.state(), filt, self.root).first()
+        return row[0] if row else None
+
+    def index_page(self, index: str, lo=None, hi=None, size: int = 100, cursor: str | None = None) -> tuple[list, str | None]:
+        """The ids of an index range by pages, and the next token, which keeps to the first page's snapshot."""
+        seq = Q.read_cursor(cursor)["seq"] if cursor else self.engine.last_seq()
+        keys = [tuple(f) for f in self._index(index)["fields"]]
+        rows = Q.index_range(self.state(seq), keys, lo, hi, size, True, self.root, cursor, True).collect()
+        return [r["_id"] for r in rows], Q.cursor_after(rows[-1], None, self.root, seq) if len(rows) == size else None
+
+    def _index(self, index: str) -> dict:
         own = next((i for i in self.indexes if i["name"] == index), None)
         if own is None:
             raise NotFound(f"no index {index!r}")
-        return Q.index_range(self.state(), [tuple(f) for f in own["fields"]], lo, hi, limit, ids_only, self.root)
+        return own
+
+    def index_range(self, index: str, lo=None, hi=None, limit: int = 0, ids_only: bool = False) -> DataFrame:
+        return Q.index_range(self.state(), [tuple(f) for f in self._index(index)["fields"]], lo, hi, limit, ids_only, self.root)
 
     def count_documents(self, filt=None) -> int:
         return A.count(self.state(), filt, self.root).first()["n"]
@@ -253,7 +323,7 @@ class Collection:
         """Upserts and deletes (`op`) by `_id`; expiry by the TTL index; unique indexes hold over the final state."""
         rows = self._expiring(rows)
         if check and any(i["unique"] for i in self.indexes):
-            self._check_unique(self._after(rows))
+            self._check_unique(rows)
         return self.engine.commit({self.name: rows})
 
     def _expiring(self, rows: DataFrame) -> DataFrame:
@@ -265,14 +335,17 @@ class Collection:
         value = self.root.get(ttl["fields"][0][0])
         return rows.withColumn("_expires_at", versions.derived_expiry(F.when(value.is_type("number"), value.number()), ttl["ttl"]))
 
-    def _after(self, rows: DataFrame) -> DataFrame:
+    def _check_unique(self, rows: DataFrame) -> None:
+        """The written documents' keys are looked up among the others; keys that no one writes aren't grouped."""
+        new = rows.filter("op = 'upsert'").select("_id", "body")
         old = self.state().join(rows.select("_id"), "_id", "left_anti").select("_id", "body")
-        return old.unionByName(rows.filter("op = 'upsert'").select("_id", "body"))
-
-    def _check_unique(self, after: DataFrame) -> None:
         for i in self.indexes:
-            if i["unique"] and not nest.unique_violations(after, [f[0] for f in i["fields"]], self.root).isEmpty():
-                raise DuplicateKey(f"index {i['name']}")
+            if i["unique"]:
+                paths = [f[0] for f in i["fields"]]
+                probe = F.xxhash64(*[self.root.get(p).key() for p in paths])  # equal keys have equal hashes; others don't matter
+                met = old.withColumn("_probe", probe).join(new.select(probe.alias("_probe")).distinct(), "_probe", "left_semi").drop("_probe")
+                if not nest.unique_violations(met.unionByName(new), paths, self.root).isEmpty():
+                    raise DuplicateKey(f"index {i['name']}")
 
     def insert_one(self, document: dict, expires_at: int = 0) -> str:
         return self.insert_many([document], expires_at)[0]
@@ -378,7 +451,8 @@ class Collection:
         own = Token.decode(token)
         if (own.engine, own.collection) != (self.engine.catalog["id"], self.name):
             raise BadQuery("the token is of another collection")
-        if own.seq < self.engine.catalog["kept_from"]:
+        kept = self.engine.catalog
+        if own.seq < kept["kept_from"] or (own.seq == kept["kept_from"] and own.ordinal < kept["kept_ordinals"].get(self.name, -1)):
             raise Conflict("the feed no longer reaches back to the token")
         return own
 
@@ -398,7 +472,7 @@ class KeyValueStore:
         self.engine, self.spark = engine, engine.spark
 
     def state(self, seq: int | None = None) -> DataFrame:
-        own = versions.snapshot(self.engine.changes(KV), seq, now_ms())
+        own = versions.snapshot(self.engine.changes(KV), self.engine.readable(seq), now_ms())
         return own.select("key", "value", "_expires_at", "_seq")
 
     def write_batch(self, ops: list[tuple]) -> int:
@@ -446,6 +520,7 @@ class Transaction:
     pairs: dict = field(default_factory=dict)
     read: dict = field(default_factory=dict)
     done: bool = False
+    seconds: float = TX_SECONDS  # from the first call to the last staged write
 
     def __post_init__(self):
         self.seq, self.began = self.engine.last_seq(), time.monotonic()
@@ -460,9 +535,18 @@ class Transaction:
     def _step(self) -> None:
         if self.done:
             raise Conflict("the transaction has ended")
-        if time.monotonic() - self.began > TX_SECONDS * 10 or len(self.staged) + len(self.pairs) >= MOST_TX_OPS:
+        if time.monotonic() - self.began > self.seconds or len(self.staged) + len(self.pairs) >= MOST_TX_OPS or self._bytes() > MOST_TX_BYTES:
             raise LimitExceeded("the transaction is too long or too large")
 
+    def _bytes(self) -> int:
+        return sum(len(json.dumps(d)) for d in self.staged.values()) + sum(len(k) + len(o[2] if o[0] == "put" else b"") for k, o in self.pairs.items())
+
+    def __getattr__(self, called: str):
+        """What works on whole collections isn't part of a transaction."""
+        if called in FORBIDDEN:
+            raise BadQuery(f"{called} can't be called in a transaction")
+        raise AttributeError(called)
+
     def put_document(self, collection: str, document: dict, if_revision: int | None = None) -> str:
         self._step()
         own = self.engine.collection(collection)
@@ -527,7 +611,7 @@ class Transaction:
                     raise Conflict(f"{key!r} has changed since the transaction began")
             made = [(k, "delete" if d is None else "upsert", None if d is None else json.dumps({**d, "_id": k})) for k, d in docs.items()]
             rows = own._expiring(spark.createDataFrame(made, "_id string, op string, j string").select("_id", "op", F.parse_json("j").alias("body")))
-            own._check_unique(own._after(rows))
+            own._check_unique(rows)
             parts[name] = rows
         if self.pairs:
             keys = {r["_id"] for r in self.engine.changes(KV).filter((F.col("c") > self.seq) & F.col("_id").isin([k.hex() for k in self.pairs])).select("_id").collect()}

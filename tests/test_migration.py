@@ -9,46 +9,74 @@ from docloom.plans import migration
 from docloom.sources.pgdump import read_dump, statements
 from docloom.sources.store import Engine
 
-TABLES = {
-    "users": ("id integer NOT NULL, email text NOT NULL, name text", ["1\tada@x.io\tAda", "2\tbo@x.io\tBo"]),
-    "profiles": ("id integer NOT NULL, user_id integer NOT NULL, bio text", ["10\t1\thi\\tthere", "11\t2\t\\N"]),
-    "addresses": ("id integer NOT NULL, user_id integer NOT NULL, city text", ["101\t1\tParis", "100\t1\tLondon", "102\t2\tNOLA"]),
-    "tags": ("id integer NOT NULL, label text", ["1\tred", "2\tblue"]),
-    "products": ("id integer NOT NULL, sku text, name text, price numeric(10,2)", ["50\tW1\tWidget\t9.99", "51\tG1\tGadget\t19.99"]),
-    "product_tags": ("product_id integer NOT NULL, tag_id integer NOT NULL", ["50\t1", "50\t2", "51\t1"]),
-    "orders": ("id integer NOT NULL, user_id integer NOT NULL, placed_at timestamp without time zone", ["1000\t1\t2021-01-01 00:00:00", "1001\t1\t2021-02-01 00:00:00", "1002\t2\t\\N"]),
-    "order_items": ("id integer NOT NULL, order_id integer NOT NULL, product_id integer, qty integer", ["1\t1000\t50\t2", "2\t1000\t51\t1", "3\t1001\t50\t5", "4\t1002\t51\t3", "5\t1002\t\\N\t1"]),
-}
-KEYS = """
-ALTER TABLE ONLY public.users ADD CONSTRAINT u1 UNIQUE (email);
-ALTER TABLE ONLY public.products ADD CONSTRAINT u2 UNIQUE (sku);
-ALTER TABLE ONLY public.profiles ADD CONSTRAINT u3 UNIQUE (user_id);
-ALTER TABLE ONLY public.product_tags ADD CONSTRAINT pk PRIMARY KEY (product_id, tag_id);
-ALTER TABLE ONLY public.profiles ADD CONSTRAINT f1 FOREIGN KEY (user_id) REFERENCES public.users(id);
-ALTER TABLE ONLY public.addresses ADD CONSTRAINT f2 FOREIGN KEY (user_id) REFERENCES public.users(id) ON DELETE CASCADE;
-ALTER TABLE ONLY public.product_tags ADD CONSTRAINT f3 FOREIGN KEY (product_id) REFERENCES public.products(id);
-ALTER TABLE ONLY public.product_tags ADD CONSTRAINT f4 FOREIGN KEY (tag_id) REFERENCES public.tags(id);
-ALTER TABLE ONLY public.orders ADD CONSTRAINT f5 FOREIGN KEY (user_id) REFERENCES public.users(id);
-ALTER TABLE ONLY public.order_items ADD CONSTRAINT f6 FOREIGN KEY (order_id) REFERENCES public.orders(id);
-ALTER TABLE ONLY public.order_items ADD CONSTRAINT f7 FOREIGN KEY (product_id) REFERENCES public.products(id);
-CREATE INDEX by_name ON public.users USING btree (name DESC);
+# A weather service: sensors stand at stations, observers check what they read and have a badge and topics.
+DUMP = r"""
+SET client_encoding = 'UTF8'; -- one comment; with a semicolon
+CREATE TABLE public.station (code text NOT NULL, title text, altitude numeric(7,1), CONSTRAINT station_pk PRIMARY KEY (code));
+CREATE TABLE public.sensor (
+    nr bigint NOT NULL,
+    station_code text,
+    kind text,
+    cost numeric(8,2)
+);
+CREATE TABLE public.observer (nr integer PRIMARY KEY, login text NOT NULL UNIQUE);
+CREATE TABLE public.badge (nr integer, observer_nr integer, colour text);
+CREATE TABLE public.reading (nr integer, sensor_nr bigint, observer_nr integer, taken timestamp without time zone, degrees double precision);
+CREATE TABLE public.topic (nr integer, word text);
+CREATE TABLE public.observer_topic (observer_nr integer, topic_nr integer);
+COPY public.station (code, title, altitude) FROM stdin;
+HILL	Hill\\Top	812.5
+QUAY	\N	-1.0
+\.
+COPY public.sensor (nr, station_code, kind, cost) FROM stdin;
+1	HILL	wind	120.50
+2	HILL	rain	8.00
+3	QUAY	tide	\N
+\.
+COPY public.observer (nr, login) FROM stdin;
+70	iris
+71	otto
+72	uma
+\.
+COPY public.badge (nr, observer_nr, colour) FROM stdin;
+5	70	sea\tgreen
+6	71	\N
+\.
+COPY public.reading (nr, sensor_nr, observer_nr, taken, degrees) FROM stdin;
+903	1	70	2019-06-01 12:00:00	3.5
+901	1	\N	2019-06-02 00:00:00.25	-4
+902	2	70	\N	0
+904	3	70	1970-01-01 00:00:01	11.25
+\.
+COPY public.topic (nr, word) FROM stdin;
+31	snow
+32	fog
+\.
+COPY public.observer_topic (observer_nr, topic_nr) FROM stdin;
+70	31
+71	31
+72	31
+70	32
+\.
+ALTER TABLE ONLY public.sensor ADD CONSTRAINT sensor_pk PRIMARY KEY (nr);
+ALTER TABLE ONLY public.badge ADD CONSTRAINT badge_pk PRIMARY KEY (nr), ADD CONSTRAINT badge_once UNIQUE (observer_nr);
+ALTER TABLE ONLY public.reading ADD CONSTRAINT reading_pk PRIMARY KEY (nr);
+ALTER TABLE ONLY public.topic ADD CONSTRAINT topic_pk PRIMARY KEY (nr);
+ALTER TABLE ONLY public.observer_topic ADD CONSTRAINT both_pk PRIMARY KEY (observer_nr, topic_nr);
+ALTER TABLE ONLY public.sensor ADD CONSTRAINT at_station FOREIGN KEY (station_code) REFERENCES public.station(code);
+ALTER TABLE ONLY public.reading ADD CONSTRAINT by_sensor FOREIGN KEY (sensor_nr) REFERENCES public.sensor(nr) ON DELETE CASCADE;
+ALTER TABLE ONLY public.reading ADD CONSTRAINT by_observer FOREIGN KEY (observer_nr) REFERENCES public.observer(nr);
+ALTER TABLE ONLY public.badge ADD CONSTRAINT of_observer FOREIGN KEY (observer_nr) REFERENCES public.observer(nr);
+ALTER TABLE ONLY public.observer_topic ADD CONSTRAINT one FOREIGN KEY (observer_nr) REFERENCES public.observer(nr);
+ALTER TABLE ONLY public.observer_topic ADD CONSTRAINT other FOREIGN KEY (topic_nr) REFERENCES public.topic(nr);
+CREATE INDEX dearest ON public.sensor USING btree (cost DESC, kind);
 """
 
 
-def dump():
-    out = ["SET statement_timeout = 0; -- a comment; here"]
-    out += [f"CREATE TABLE public.{n} (\n    " + columns.replace(", ", ",\n    ").replace("10,2", "10,2") + "\n);" for n, (columns, _) in TABLES.items()]
-    for n, (columns, rows) in TABLES.items():
-        names = ", ".join(c.split(" ")[0] for c in columns.split(", "))
-        out += [f"COPY public.{n} ({names}) FROM stdin;", *rows, "\\."]
-    out += [f"ALTER TABLE ONLY public.{n} ADD CONSTRAINT {n}_pkey PRIMARY KEY (id);" for n in TABLES if n != "product_tags"]
-    return "\n".join(out) + KEYS
-
-
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
-    path = tmp_path_factory.mktemp("dump") / "shop.sql"
-    path.write_text(dump())
+    path = tmp_path_factory.mktemp("dump") / "weather.sql"
+    path.write_text(DUMP)
     return read_dump(spark, str(path))
 
 
@@ -61,35 +89,51 @@ def documents(tables, plan, n):
     return {r["_id"]: json.loads(r["j"]) for r in migration.documents(tables, plan.collections[n]).select("_id", F.to_json("body").alias("j")).collect()}
 
 
-def test_plan(plan):
-    assert set(plan.collections) == {"users", "products", "tags", "orders"} and plan.joins == ["product_tags"]
-    assert set(plan.embedded) == {"profiles", "addresses", "order_items"} and plan.dropped_foreign_keys == 7
-    assert ("users", ["email"]) in plan.preserved_unique and ("profiles", ["user_id"]) in plan.dropped_unique
-    assert ([("email", 1)], True) in plan.collections["users"].indexes and ([("name", -1)], False) in plan.collections["users"].indexes
-    assert ([("user_id", 1)], False) in plan.collections["orders"].indexes
-    assert list(plan.collections).index("users") < list(plan.collections).index("orders")
+def test_roles_of_tables(plan):
+    assert set(plan.collections) == {"station", "sensor", "observer", "topic"}
+    assert set(plan.embedded) == {"reading", "badge"} and plan.joins == ["observer_topic"] and plan.dropped_foreign_keys == 6
+    assert plan.preserved_unique == [("observer", ["login"])] and plan.dropped_unique == [("badge", ["observer_nr"])]
+    assert list(plan.collections).index("station") < list(plan.collections).index("sensor")
+
+
+def test_indexes_of_collections(plan):
+    assert plan.collections["sensor"].indexes == [([("station_code", 1)], False), ([("cost", -1), ("kind", 1)], False)]
+    assert plan.collections["observer"].indexes == [([("login", 1)], True)] and plan.collections["topic"].indexes == []
+
+
+def test_own_fields_are_converted(tables, plan):
+    assert documents(tables, plan, "station") == {"HILL": {"_id": "HILL", "code": "HILL", "title": "Hill\\Top", "altitude": 8125}, "QUAY": {"_id": "QUAY", "code": "QUAY", "title": None, "altitude": -10}}
+
 
+def test_children_lie_in_their_parent_in_the_order_of_the_dump(tables, plan):
+    sensors = documents(tables, plan, "sensor")
+    assert [r["nr"] for r in sensors["1"]["reading"]] == [903, 901] and sensors["1"]["cost"] == 12050 and sensors["3"]["cost"] is None
+    assert [r["taken"] for r in sensors["1"]["reading"]] == [1559390400000, 1559433600250] and sensors["3"]["reading"][0]["taken"] == 1000
+    assert sensors["3"]["reading"][0]["degrees"] == 11.25
 
-def test_documents(tables, plan):
-    users = documents(tables, plan, "users")
-    assert users["1"]["profiles"] == {"id": 10, "user_id": 1, "bio": "hi\tthere"}
-    assert [a["city"] for a in users["1"]["addresses"]] == ["Paris", "London"]
-    orders = documents(tables, plan, "orders")
-    assert orders["1000"]["placed_at"] == 1609459200000 and len(orders["1000"]["order_items"]) == 2
-    assert orders["1000"]["order_items"][0]["products"] == {"id": 50, "sku": "W1", "name": "Widget", "price": 999}
-    assert not orders["1002"]["order_items"][1].get("products")
-    assert documents(tables, plan, "products")["50"]["tag_ids"] == ["1", "2"]
 
+def test_a_copy_of_the_other_parent_is_left_out_on_a_miss(tables, plan):
+    with_, without = documents(tables, plan, "sensor")["1"]["reading"]
+    assert with_["observer"] == {"nr": 70, "login": "iris"} and "observer" not in without and without["observer_nr"] is None
 
-def test_load(spark, tables, plan, tmp_path):
+
+def test_single_children_and_join_tables(tables, plan):
+    observers = documents(tables, plan, "observer")
+    assert observers["70"]["badge"] == {"nr": 5, "observer_nr": 70, "colour": "sea\tgreen"} and observers["71"]["badge"]["colour"] is None
+    assert observers["70"]["topic_ids"] == ["31", "32"] and observers["71"]["topic_ids"] == ["31"]
+    assert "observer_ids" not in documents(tables, plan, "topic")["31"]
+
+
+def test_loading_fills_empty_collections_only(spark, tables, plan, tmp_path):
     engine = Engine(spark, str(tmp_path / "db"))
-    assert migration.load(engine, tables, plan) == {"users": 2, "tags": 2, "products": 2, "orders": 3}
-    assert engine.collection("orders").find_one({"order_items": {"$elemMatch": {"qty": 5}}})["_id"] == "1001"
+    assert migration.load(engine, tables, plan) == {"station": 2, "observer": 3, "topic": 2, "sensor": 3}
+    warm = engine.collection("sensor").find_one({"reading": {"$elemMatch": {"degrees": {"$gt": 10}}}})
+    assert warm["_id"] == "3" and engine.collection("sensor").index_page("by_cost_kind", size=2)[0] == ["1", "2"]
     with pytest.raises(AlreadyExists):
         migration.load(engine, tables, plan)
 
 
-@pytest.mark.parametrize("text", ["CREATE TABLE t (a int);\nINSERT INTO t VALUES (1);", "CREATE TABLE t (a int) PARTITION BY RANGE (a);", "CREATE TABLE t (a int) INHERITS (u);", "CREATE TABLE t (a int);\nCOPY t (a) FROM stdin;\n1\n", "COPY t (a) FROM stdin;\n1\n\\.\n", "CREATE TABLE t (a int);\nCOPY t (a) FROM stdin;\n1\t2\n\\.\n"])
+@pytest.mark.parametrize("text", ["CREATE TABLE k (v int);\nINSERT INTO k VALUES (1);", "CREATE TABLE k (v int) PARTITION BY LIST (v);", "CREATE TABLE k (v int) INHERITS (old);", "CREATE TABLE k (v int);\nCOPY k (v) FROM stdin;\n5\n", "COPY nowhere (v) FROM stdin;\n5\n\\.\n", "CREATE TABLE k (v int);\nCOPY k (v) FROM stdin;\n5\t6\n\\.\n"])
 def test_bad_dumps(spark, tmp_path, text):
     (tmp_path / "bad.sql").write_text(text)
     with pytest.raises(BadDump):
@@ -97,18 +141,25 @@ def test_bad_dumps(spark, tmp_path, text):
 
 
 def test_literals():
-    assert array_items('{a,"b, \\"c\\"",NULL,{d,e},{}}') == ["a", 'b, "c"', None, ["d", "e"], []]
-    assert array_items("{") is None and array_items("x") is None and array_items("{a}b") is None
-    assert statements("a; -- c;\n'x;y'; b") == ["a", "'x;y'", "b"]
+    assert array_items('{x,"y, \\"z\\"",NULL,{u,v},{}}') == ["x", 'y, "z"', None, ["u", "v"], []]
+    assert array_items("{") is None and array_items("plain") is None and array_items("{x}y") is None
+    assert statements("one; -- two;\n'a;b'; c") == ["one", "'a;b'", "c"]
 
 
 def test_conversions(spark):
     from docloom.functions import convert as C
 
-    cases = [("numeric(10,2)", "9.999", 999), ("numeric(10,2)", "-0.5", -50), ("numeric(10,2)", ".5", 50), ("numeric", "1.5", "1.5"), ("integer", "x", "x"), ("bigint", "12", 12), ("boolean", "t", True), ("boolean", "maybe", "maybe"), ("double precision", "NaN", "NaN"), ("real", "1.5", 1.5), ("timestamp", "2021-01-01 00:00:00.1239+02", 1609459200123), ("date", "1970-01-02", 86400000), ("date", "x", "x"), ("jsonb", '{"a":1}', {"a": 1}), ("text[]", "{a,b}", ["a", "b"]), ("numeric(30,2)", "1" * 25, "1" * 25), ("text", None, None)]
+    cases = [("numeric(9,3)", "2.0019", 2001), ("numeric(9,3)", "-0.007", -7), ("numeric(9,3)", ".25", 250), ("numeric", "8.25", "8.25"), ("integer", "many", "many"), ("bigint", "77", 77), ("boolean", "f", False), ("boolean", "perhaps", "perhaps"), ("double precision", "Infinity", "Infinity"), ("real", "0.5", 0.5), ("timestamp", "2000-02-29 06:30:00.0419+01", 951805800041), ("date", "1970-01-11", 864000000), ("date", "soon", "soon"), ("jsonb", '{"k":[2]}', {"k": [2]}), ("text[]", "{p,q}", ["p", "q"]), ("numeric(30,2)", "9" * 25, "9" * 25), ("text", None, None)]
     for kind, text, want in cases:
-        df = spark.createDataFrame([(text,)], "t string").select(F.to_json(C.convert(F.col("t"), kind)).alias("j"))
-        got = df.first()["j"]
+        got = spark.createDataFrame([(text,)], "t string").select(F.to_json(C.convert(F.col("t"), kind)).alias("j")).first()["j"]
         assert (json.loads(got) if got is not None else None) == want, (kind, text, got)
     ids = spark.range(3).select(C.new_id().alias("i")).collect()
     assert len({r["i"] for r in ids}) == 3 and all(len(r["i"]) == 32 for r in ids)
+
+
+def test_stable_ids(spark):
+    from docloom.functions import convert as C
+
+    df = spark.createDataFrame([("x", None), ("x", ""), ("x", None), ("xy", "z"), ("x", "yz")], "k string, v string")
+    ids = [r["i"] for r in df.select(C.stable_id([F.col("k"), F.col("v")]).alias("i")).collect()]
+    assert ids[0] == ids[2] and len(set(ids)) == 4
