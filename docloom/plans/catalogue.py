@@ -11,11 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.errors import Conflict
 from docloom.functions import convert
 from docloom.functions.values import Root
 from docloom.operators import aggregate as A
 from docloom.operators import find as Q
 from docloom.operators import kv, nest, update, versions
+from docloom.plans import migration
+from docloom.sources.pgdump import read_dump
+from docloom.sources.store import Collection, Engine
+from docloom.streaming.watch import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,8 +41,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where spark.checkpoint.dir is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "docloom-shared")
+    """The folder that driver and executors share; a temporary one only in a session of one machine without the setting."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return at or "file://" + os.path.join(tempfile.gettempdir(), "docloom-shared")
+
+
+def engine(spark: SparkSession) -> Engine:
+    """A new store of its own in the shared folder."""
+    return Engine(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
 
 
 def orders(spark, sf_dir):
@@ -146,10 +159,13 @@ def filter_nested_logic(spark, sf_dir):
     return find_orders(spark, sf_dir, {"$and": [{"$or": [{"o_orderstatus": "F"}, {"$and": [{"o_totalprice": {"$gt": 200000}}, {"$not": {"o_orderpriority": "5-LOW"}}]}]}, {"o_custkey": {"$lt": 500}}]})
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE true")
+@query("SELECT event_id FROM events WHERE event_type = 'click' OR value < 0.5")
 def filter_cross_type(spark, sf_dir):
-    df, root = parts(spark, sf_dir)
-    return Q.find(df, {"p_name": {"$gt": 5}}, root=root).select("p_partkey", "p_name")
+    """Text under the path is above every number, numbers are compared."""
+    e = table(spark, sf_dir, "events")
+    mixed = F.to_variant_object(F.struct(F.col("value").alias("v"))), F.to_variant_object(F.struct(F.col("event_type").alias("v")))
+    df = e.select("event_id", F.when(F.col("event_type") == "click", mixed[1]).otherwise(mixed[0]).alias("body"))
+    return Q.find(df, {"$or": [{"v": {"$gt": 10**12}}, {"v": {"$lt": 0.5}}]}, root=Root(df.schema, "event_id", "body")).select("event_id")
 
 
 @query("SELECT event_id FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
@@ -211,12 +227,6 @@ def project_exclude(spark, sf_dir):
     return Q.find(df, {"o_orderstatus": "P"}, project={"o_orderdate": 0, "o_orderpriority": 0}, root=root)
 
 
-@query("""SELECT user_id AS "_id", max(event_id) AS "_rev" FROM events GROUP BY 1""")
-def find_with_revision(spark, sf_dir):
-    changes = changelog(spark, sf_dir)
-    return versions.newest(changes).select("_id", F.col("_seq").alias("_rev"))
-
-
 @query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 1000")
 def sort_multi(spark, sf_dir):
     return find_orders(spark, sf_dir, {}, ["o_orderkey", "o_orderpriority", "o_totalprice"], sort=[("o_orderpriority", 1), ("o_totalprice", -1)], limit=1000)
@@ -320,7 +330,7 @@ def distinct_dynamic(spark, sf_dir):
 @query("SELECT count(*) AS scanned, count(*) FILTER (o_orderstatus = 'F') AS matched FROM orders")
 def execution_stats(spark, sf_dir):
     df, root = orders(spark, sf_dir)
-    return A.stats(df, {"o_orderstatus": "F"}, root)
+    return A.stats(df, {"o_orderstatus": "F"}, root).select("scanned", "matched")
 
 
 @query("SELECT round(avg(n), 6) AS avg_fanout, max(n) AS max_fanout FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)")
@@ -332,13 +342,13 @@ def fanout_stats(spark, sf_dir):
 
 
 @query(
-    """SELECT c_custkey, count(o_orderkey) AS n_orders, min_by(o_orderkey, o_orderkey) AS first_order, round(coalesce(sum(o_totalprice), 0), 2) AS total
+    """SELECT c_custkey, count(o_orderkey) AS n_orders, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey), '') AS orders, round(coalesce(sum(o_totalprice), 0), 2) AS total
     FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"""
 )
 def nest_one_to_many(spark, sf_dir):
     own = nest.nest_many(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), ["c_custkey"], ["o_custkey"], "orders", ["o_orderkey"], ["o_orderkey", "o_totalprice"])
     total = F.aggregate("orders.o_totalprice", F.lit(0.0), lambda a, x: a + x)
-    return own.select("c_custkey", F.size("orders").cast("bigint").alias("n_orders"), F.get("orders.o_orderkey", F.lit(0)).alias("first_order"), F.round(total, 2).alias("total"))
+    return own.select("c_custkey", F.size("orders").cast("bigint").alias("n_orders"), F.array_join("orders.o_orderkey", ",").alias("orders"), F.round(total, 2).alias("total"))
 
 
 @query("""SELECT conv_id, count(*) AS n_turns, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY 1""")
@@ -408,19 +418,19 @@ def update_inc(spark, sf_dir):
     return updated(spark, sf_dir, {"o_orderstatus": "O"}, {"$inc": {"o_custkey": 1000}}, ["o_orderkey", "o_custkey"])
 
 
-@query("SELECT p_partkey, CAST(len(string_split(p_name, ' ')) + CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS INTEGER) AS n_tags FROM part")
-def update_push_size(spark, sf_dir):
+@query("SELECT p_partkey, replace(p_name, ' ', ',') || CASE WHEN p_size > 25 THEN ',large' ELSE '' END AS tags FROM part")
+def update_push(spark, sf_dir):
     df, root = parts(spark, sf_dir)
-    return update.update(df, {"p_size": {"$gt": 25}}, {"$push": {"tags": "large"}}, root=root).table.select("p_partkey", F.size("tags").alias("n_tags"))
+    return update.update(df, {"p_size": {"$gt": 25}}, {"$push": {"tags": "large"}}, root=root).table.select("p_partkey", F.array_join("tags", ",").alias("tags"))
 
 
-@query("SELECT conv_id, CAST(sum(CASE WHEN turn = 0 THEN 1 ELSE 0 END) AS BIGINT) AS edited FROM conversations GROUP BY 1 HAVING sum(CASE WHEN turn = 0 THEN 1 ELSE 0 END) = 1")
+@query("""SELECT conv_id, string_agg(CASE WHEN turn = 0 THEN 'edited' ELSE text END, '|' ORDER BY turn) AS texts FROM conversations GROUP BY 1 HAVING count(*) FILTER (turn = 0) = 1""")
 def update_positional(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     own = nest.nest_many(turns.select("conv_id").distinct(), turns, ["conv_id"], ["conv_id"], "turns", ["turn"], ["turn", "role", "text"])
     own = own.filter(F.size(F.filter("turns", lambda t: t["turn"] == 0)) == 1)
     new = update.update(own, {}, {"$set": {"turns.$[turn=0].text": "edited"}}, root=Root(own.schema, "conv_id")).table
-    return new.select("conv_id", F.size(F.filter("turns", lambda t: t["text"] == "edited")).cast("bigint").alias("edited"))
+    return new.select("conv_id", F.array_join("turns.text", "|").alias("texts"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) + CASE WHEN event_type = 'click' THEN 5 ELSE 0 END AS k, CASE WHEN event_type = 'click' THEN 'yes' END AS seen FROM events")
@@ -528,6 +538,161 @@ def raw_versions(spark, sf_dir):
     return versions.all_versions(changelog(spark, sf_dir)).select("_id", "_seq")
 
 
+# --- the store: each query makes one of its own, writes to it and reads it back
+
+
+def stored(spark, sf_dir) -> tuple[Engine, Collection, int]:
+    """Orders as documents; then those that are in progress are updated, and the cheap ones deleted."""
+    db = engine(spark)
+    own = db.collection("orders")
+    first = own.insert_table(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), "o_orderkey")
+    own.update_many({"o_orderstatus": "P"}, {"$set": {"o_orderstatus": "X"}, "$inc": {"o_custkey": 1000}})
+    own.delete_many({"o_totalprice": {"$lt": 50000}})
+    return db, own, first
+
+
+def stored_fields(df: DataFrame) -> DataFrame:
+    get = lambda path, kind: F.try_variant_get("body", f"$.{path}", kind)
+    return df.select(F.col("_id").cast("bigint").alias("o_orderkey"), get("o_custkey", "bigint").alias("o_custkey"), get("o_orderstatus", "string").alias("o_orderstatus"))
+
+
+STORED = "SELECT o_orderkey, o_custkey + CASE WHEN o_orderstatus = 'P' THEN 1000 ELSE 0 END AS o_custkey, replace(o_orderstatus, 'P', 'X') AS o_orderstatus FROM orders WHERE o_totalprice >= 50000"
+
+
+@query(STORED)
+def store_writes(spark, sf_dir):
+    return stored_fields(stored(spark, sf_dir)[1].state())
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def store_old_state(spark, sf_dir):
+    _, own, first = stored(spark, sf_dir)
+    return stored_fields(own.state(first))
+
+
+@query(STORED)
+def store_compacted(spark, sf_dir):
+    db, own, _ = stored(spark, sf_dir)
+    db.compact()
+    return stored_fields(Engine(spark, db.path).collection("orders").find())
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def store_restored(spark, sf_dir):
+    db, _, first = stored(spark, sf_dir)
+    copy = f"{db.path}-copy"
+    db.restore_to(copy, first)
+    return stored_fields(Engine(spark, copy).collection("orders").find())
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END AS BIGINT) AS rev FROM orders WHERE o_totalprice >= 50000")
+def find_with_revision(spark, sf_dir):
+    return stored(spark, sf_dir)[1].find_with_revision().select(F.col("_id").cast("bigint").alias("o_orderkey"), F.col("_rev").alias("rev"))
+
+
+FEED = "SELECT o_orderkey, 2 AS seq, 'upsert' AS op FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_orderkey, 3, 'delete' FROM orders WHERE o_totalprice < 50000"
+
+
+@query(FEED)
+def store_feed(spark, sf_dir):
+    """What came after the first commit, by a token."""
+    db, own, first = stored(spark, sf_dir)
+    token = own.event_token({"_seq": first, "_ord": 1 << 62})
+    return own.changes_since(token).select(F.col("_id").cast("bigint").alias("o_orderkey"), F.col("_seq").cast("int").alias("seq"), "op")
+
+
+@query(FEED)
+def store_watch(spark, sf_dir):
+    """The same by a stream, which starts after the token and keeps its place in a checkpoint."""
+    db, own, first = stored(spark, sf_dir)
+    out, token = f"{db.path}-watched", own.event_token({"_seq": first, "_ord": 1 << 62})
+    for _ in range(2):  # the second run finds nothing new
+        watch(own, lambda df, i: df.select("_id", "_seq", "op").write.mode("overwrite").parquet(f"{out}/{i}"), f"{db.path}-checkpoint", token, once=True).awaitTermination()
+    seen = spark.read.schema("_id string, _seq long, op string").option("recursiveFileLookup", "true").parquet(out)
+    return seen.select(F.col("_id").cast("bigint").alias("o_orderkey"), F.col("_seq").cast("int").alias("seq"), "op")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 300000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10")
+def store_index_pages(spark, sf_dir):
+    """The second and third page of an index, by their tokens."""
+    _, own, _ = stored(spark, sf_dir)
+    own.create_index([("o_totalprice", -1)])
+    _, at = own.index_page("by_o_totalprice", None, [300000], 10)
+    second, at = own.index_page("by_o_totalprice", None, [300000], 10, at)
+    third, _ = own.index_page("by_o_totalprice", None, [300000], 10, at)
+    return own.state().filter(F.col("_id").isin(second + third)).select(F.col("_id").cast("bigint").alias("o_orderkey"), F.try_variant_get("body", "$.o_totalprice", "double").alias("o_totalprice"))
+
+
+@query("SELECT r_regionkey AS id, CASE WHEN r_regionkey = 1 THEN 'one' ELSE r_name END AS name FROM region WHERE r_regionkey <> 2 UNION ALL SELECT 77, 'new'")
+def store_transaction(spark, sf_dir):
+    """One transaction that is committed, one that is rolled back, and one that finds a document changed."""
+    db = engine(spark)
+    own = db.collection("region")
+    own.insert_table(table(spark, sf_dir, "region"), "r_regionkey")
+    with db.transaction() as tx:
+        tx.put_document("region", {"_id": "1", "r_name": "one"})
+        tx.put_document("region", {"_id": "77", "r_name": "new"})
+        tx.delete_document("region", "2")
+    tx = db.transaction()
+    tx.delete_document("region", "3")
+    tx.rollback()
+    tx = db.transaction()
+    tx.put_document("region", {"_id": "4", "r_name": "lost"})
+    own.update_one({"_id": "4"}, {"$set": {"seen": True}})
+    try:
+        tx.commit()
+    except Conflict:
+        pass
+    return own.find().select(F.col("_id").cast("int").alias("id"), F.try_variant_get("body", "$.r_name", "string").alias("name"))
+
+
+@query("SELECT c_name AS key, c_mktsegment AS value FROM customer WHERE starts_with(c_name, 'Customer#00000000') AND c_name <> 'Customer#000000007'")
+def store_pairs(spark, sf_dir):
+    db = engine(spark)
+    rows = table(spark, sf_dir, "customer").filter("c_custkey < 200").select("c_name", "c_mktsegment").collect()
+    db.pairs.write_batch([("put", r["c_name"].encode(), r["c_mktsegment"].encode()) for r in rows])
+    db.pairs.delete(b"Customer#000000007")
+    return db.pairs.prefix_scan(b"Customer#00000000").select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@query("SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
+def unique_probe(spark, sf_dir):
+    """The keys for which a unique index on both fields cannot be made."""
+    df, root = orders(spark, sf_dir)
+    own = nest.unique_violations(df, ["o_custkey", "o_orderpriority"], root)
+    return own.select(F.col("k0.num").cast("bigint").alias("o_custkey"), F.col("k1.str").alias("o_orderpriority"), "n")
+
+
+# --- dumps and migration
+
+
+def nations_dump(spark, sf_dir) -> dict:
+    """Regions and their nations as a dump in COPY format, read again."""
+    regions, nations = (table(spark, sf_dir, n).collect() for n in ("region", "nation"))
+    lines = ["CREATE TABLE public.region (r_regionkey integer PRIMARY KEY, r_name text);", "CREATE TABLE public.nation (n_nationkey integer PRIMARY KEY, n_name text, n_regionkey integer REFERENCES public.region(r_regionkey));"]
+    lines += ["COPY public.region (r_regionkey, r_name) FROM stdin;", *(f"{r.r_regionkey}\t{r.r_name}" for r in regions), "\\."]
+    lines += ["COPY public.nation (n_nationkey, n_name, n_regionkey) FROM stdin;", *(f"{n.n_nationkey}\t{n.n_name}\t{n.n_regionkey}" for n in nations), "\\."]
+    at = f"{shared_dir(spark)}/dump-{uuid.uuid4().hex}"
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(at)
+    return read_dump(spark, at)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def dump_rows(spark, sf_dir):
+    rows = nations_dump(spark, sf_dir)["nation"].rows
+    return rows.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
+
+
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS id, r_name, count(n_nationkey) AS n, coalesce(string_agg(n_name, ',' ORDER BY n_nationkey), '') AS nations FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1, 2")
+def migrate_documents(spark, sf_dir):
+    """Nations become a list in their region's document."""
+    tables = nations_dump(spark, sf_dir)
+    plan = migration.classify(tables)
+    docs = migration.documents(tables, plan.collections["region"])
+    nations = F.try_variant_get("body", "$.nation", "array<struct<n_nationkey:int,n_name:string>>")
+    return docs.select(F.col("_id").alias("id"), F.try_variant_get("body", "$.r_name", "string").alias("r_name"), F.size(nations).cast("bigint").alias("n"), F.array_join(F.transform(nations, lambda x: x["n_name"]), ",").alias("nations"))
+
+
 # --- key-value reads
 
 
