@@ -11,8 +11,9 @@ add the expected counts by piece. Every language of the table is learned; driver
 and language (some 0.2 MB a language), and more languages than `most_languages` are an error, where it is given: none is left out.
 
 A text's `lang_fit` tells how well it fits the predicted language: the mean logarithm a letter, less that of the language's
-learning texts (0: as well; below -MARGIN: in none of the learned languages, such as typing at random or another script). Texts of less
-than LEAST letters aren't judged so.
+learning texts (0: as well; below -MARGIN: in none of the learned languages, such as typing at random or another script). Where the mean
+is below -MARGIN, the median over the letters counts instead if it is higher, so that a key or a code among ordinary words does not speak for
+the text. Texts of less than LEAST letters aren't judged.
 
 A text that is null or has no letter is `und`, with score 0; so is every text if nothing was learned. Null lang is
 never learned from. Ties go to the first name. Repeated rows each get the same result; long texts are read whole; an
@@ -41,7 +42,7 @@ VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 ROUNDS = 2
-MARGIN, LEAST = 2.5, 20  # nats a letter; letters
+MARGIN, LEAST = 2.5, 60  # nats a letter; letters
 CACHE = 400_000
 SHORT = 30
 RISE = 50.0
@@ -265,6 +266,16 @@ class WordScores:
             self.table[len(self.row) - len(new) : len(self.row)] = self.model.log_probabilities(new)
         return [self.table[[self.row[w] for w in words]].sum(axis=0) for words in texts]
 
+    def fit(self, words: list[str], language: int, mean: float) -> float:
+        """How well the text of the last `sums` fits the language: a logarithm a letter, less the language's own."""
+        mean -= float(self.model.typical[language])
+        if mean >= -MARGIN:
+            return mean
+        letters = np.array([len(w) for w in words])
+        own = self.table[[self.row[w] for w in words], language] / letters - self.model.typical[language]
+        order = np.argsort(own, kind="stable")
+        return max(mean, float(own[order][np.searchsorted(np.cumsum(letters[order]), letters.sum() / 2)]))
+
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(counts: Counter) -> pa.RecordBatch:
@@ -353,7 +364,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     post = logs + own.priors
                     best = int(np.argmax(post))
                     pred.append(own.languages[best]), score.append(float(1 / np.exp(post - post[best]).sum()))
-                    fit.append(float(logs[best] / letters[-1] - own.typical[best]) if letters[-1] >= LEAST else None)
+                    fit.append(scores.fit(words, best, float(logs[best] / letters[-1])) if letters[-1] >= LEAST else None)
             more = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(fit, pa.float64()), pa.array(letters, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*columns, *names])
 

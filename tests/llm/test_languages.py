@@ -96,11 +96,11 @@ def learned(spark):
 
 
 def test_texts_of_no_learned_language_are_told_apart(spark):
-    texts = ["the dog sat by the house and the river", "die katze und der hund sind an dem fluss", "xqzv kkjw qpfg zxwv bnmq wrtz pfxq", "\u044d\u0442\u043e \u0440\u0443\u0441\u0441\u043a\u0438\u0439 \u0442\u0435\u043a\u0441\u0442 \u043e\u0447\u0435\u043d\u044c \u0434\u043b\u0438\u043d\u043d\u044b\u0439", "ok xq", "", None, "123 !!"]
+    texts = ["the dog sat by the house and the river", "die katze und der hund sind an dem fluss", "xqzv kkjw qpfg zxwv bnmq wrtz pfxq " * 4, "\u044d\u0442\u043e \u0440\u0443\u0441\u0441\u043a\u0438\u0439 \u0442\u0435\u043a\u0441\u0442 \u043e\u0447\u0435\u043d\u044c \u0434\u043b\u0438\u043d\u043d\u044b\u0439" * 4, "ok xq", "", None, "123 !!", "the dog sat by the river and the cat ran to the house by the mat qzxjvkwqpfgzxwvbnmqwrtzpfxq", "on the AKIARJTPEYDFQBCZHJ mat"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert sorted(r["doc_id"] for r in L.in_a_language(df, learned(spark)).collect()) == [0, 1, 4]
+    assert sorted(r["doc_id"] for r in L.in_a_language(df, learned(spark)).collect()) == [0, 1, 4, 8, 9]
     nothing = L.learn(df.withColumn("lang", F.lit(None).cast("string")))
-    assert sorted(r["doc_id"] for r in L.in_a_language(df, nothing).collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r["doc_id"] for r in L.in_a_language(df, nothing).collect()) == [0, 1, 2, 3, 4, 8, 9]
 
 
 def test_typical_is_the_mean_over_the_learning_texts(spark):
