@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import fresh, partitions, q, range_bounds, range_bucket, read
 
-SIZE = 48
+SIZE = 32
 WORDS = r"[\x20\x09-\x0D]+"
 SPREAD = 4  # ranges to each shuffle partition, so that hashing ranges to partitions deals them evenly
 
