@@ -14,10 +14,11 @@ line always stays, since a line only goes where it stands in an earlier document
 
 Null text stays null; empty text has one empty line and stays. A document may end up empty. Rows with equal doc_id are
 one document, whose chunks don't go for each other's sake; rows without a doc_id lose their inner repeats only. Repeated
-rows thus stay alike. An empty table gives an empty table; other columns pass through.
+rows thus stay alike. An empty table gives an empty table; other columns pass through. A very long text is one row like others;
+names that the new columns clash with make these end in underscores.
 
 Only digests are grouped, with partial counts, so hot chunks meet as one row a partition, and where occurrences meet
-the staying chunk, hot ones are dealt over many places. Texts are dealt by doc_id
+the staying chunk, hot ones are dealt over many places. Rows without a doc_id stay where they are. Other texts are dealt by doc_id
 once to meet what they may lose, and once more to give the staying chunks' bytes unless these documents' ids
 are few enough (BROADCAST) to be broadcast.
 """
@@ -116,7 +117,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     bodies = durable(base.join(wanted, "id").select("text", "wanted").mapInArrow(_bodies, "digest binary, body binary").dropDuplicates(["digest"]))
     staying = repeated.join(bodies, "digest")
     goes = spread_join(found, staying, "digest", "id", "n", found.count()).filter("id <> stays")
-    lost = goes.groupBy(F.col("id").alias(id_)).agg(F.collect_list("body").alias(gone))
+    lost = goes.groupBy(F.col("id").alias(id_)).agg(F.collect_set("body").alias(gone))  # rows of one doc_id lose the same chunks
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = columns.index(text)
@@ -127,7 +128,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([*own, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=[*columns, n_lines, n_removed])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{n_lines}` long", f"`{n_removed}` long"])
-    return docs.join(lost, q(doc_id) == q(id_), "left").select(*[q(c) for c in columns], gone).mapInArrow(rewrite, schema)
+    met = docs.filter(q(doc_id).isNotNull()).join(lost, q(doc_id) == q(id_), "left").select(*[q(c) for c in columns], gone)
+    alone = docs.filter(q(doc_id).isNull()).select(*[q(c) for c in columns], F.lit(None).cast("array<binary>").alias(gone))
+    return met.union(alone).mapInArrow(rewrite, schema)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import linededup as L
 from tests.llm.helpers import awkward, empty, sentences, written
@@ -96,3 +98,21 @@ def test_awkward_rows(spark, tmp_path):
     got = L.dedup_lines(df)
     assert got.columns == [*df.columns, "n_lines", "n_removed"] and got.count() == df.count()
     assert L.op3_line_dedup(spark, written(empty(spark), tmp_path)).collect() == []
+
+
+def test_rows_without_an_id_meet_in_no_task(spark):
+    """A third of all rows without a doc_id: they lose their inner repeats where they are read."""
+    line = " ".join(sentences(90, 8, 30)) + " end" * L.LONG_WORDS
+    rows = [(i if i % 3 else None, f"{line}\n{i}\n{line}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = L.dedup_lines(docs).withColumn("at", F.spark_partition_id()).collect()
+    assert sorted(((r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in got), key=str) == brute(rows)
+    places = Counter(r["at"] for r in got if r["doc_id"] is None)
+    assert sum(places.values()) == 200 and max(places.values()) < 100
+
+
+def test_rows_of_one_id_hold_each_lost_chunk_once(spark):
+    passage = "\n".join(sentences(91, 6, 12))
+    rows = [(1, passage)] + [(2, f"{passage}\n{i}") for i in range(50)]
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_lines", "n_removed", "text").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
