@@ -135,3 +135,31 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+SQL = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, text, lines, list_transform(lines, lambda x: len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'))) AS ws
+    FROM (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents)
+),
+filled AS (
+    SELECT r, i, n, sum(n) OVER (PARTITION BY r ORDER BY i) AS upto FROM (SELECT r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS n FROM d) WHERE n > 0
+),
+ends AS (SELECT r, i, upto, upto - n AS before, upto - n + {SHORT_WORDS} AS least, upto - {SHORT_WORDS} AS most FROM filled),
+runs AS (
+    SELECT r, i AS s, i AS e FROM filled WHERE n >= {LONG_WORDS}
+    UNION
+    SELECT a.r, a.i, greatest(b.i, a.i + 1) FROM ends a ASOF JOIN ends b ON a.r = b.r AND a.least <= b.upto
+    UNION
+    SELECT a.r, least(b.i, a.i - 1), a.i FROM ends a ASOF JOIN ends b ON a.r = b.r AND a.most >= b.before
+),
+chunks AS (
+    SELECT r, doc_id, s, e, array_to_string(lines[s : e], chr(10)) AS body FROM runs JOIN d USING (r)
+    WHERE s >= 1 AND e <= len(lines) AND (s = e OR list_min(ws[s : e]) < {LONG_WORDS})
+),
+met AS (SELECT r, s, e, doc_id, min(doc_id) OVER (PARTITION BY body) AS stays, row_number() OVER (PARTITION BY r, body ORDER BY s) AS nth FROM chunks),
+gone AS (SELECT r, list(DISTINCT i) AS gone FROM (SELECT r, unnest(range(s, e + 1)) AS i FROM met WHERE nth > 1 OR stays < doc_id) GROUP BY r)
+SELECT doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(len(gone), 0) AS n_removed,
+    CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_filter(lines, lambda x, i: NOT list_contains(gone, i)), chr(10)), '') END AS text
+FROM d LEFT JOIN gone USING (r)
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_sharding": sharding.SQL, "op6_near_dedup": neardup.SQL, "op8_decontamination": decontamination.SQL}
+    return {"op3_line_dedup": linededup.SQL, "op4_sharding": sharding.SQL, "op6_near_dedup": neardup.SQL, "op8_decontamination": decontamination.SQL}

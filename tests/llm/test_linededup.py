@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,13 @@ def test_rows_of_one_id_hold_each_lost_chunk_once(spark):
     rows = [(1, passage)] + [(2, f"{passage}\n{i}") for i in range(50)]
     got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_lines", "n_removed", "text").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_sql_on_awkward_texts():
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    rnd = random.Random(5)
+    lines = [" ".join(f"w{rnd.randint(0, 1)}" for _ in range(n)) for n in (0, 0, 1, 1, 3, 4, 8, 9, 49, 50, 55)] + ["\x1c a\x0b b", "\t"]
+    rows = corpus() + [(rnd.choice([None, *range(1000, 1100)]), "\n".join(rnd.choices(lines, k=rnd.randint(1, 12)))) for _ in range(300)]
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(con.execute(L.SQL).fetchall(), key=str) == brute(rows)
