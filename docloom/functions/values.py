@@ -247,12 +247,12 @@ class Typed(Value):
 
 
 class Dynamic(Value):
-    """A VARIANT value: SQL null is missing, a variant null is an explicit null."""
+    """A VARIANT value: SQL null is missing, a variant null is an explicit null. `kind`: a column that has its type, if there is one."""
 
     integral = False
 
-    def __init__(self, column: Column):
-        self.c = column
+    def __init__(self, column: Column, kind: Column | None = None):
+        self.c, self.kind = column, kind
 
     def column(self):
         return self.c
@@ -262,7 +262,7 @@ class Dynamic(Value):
         return Dynamic(F.try_variant_get(self.c, "$" + keys, "variant"))
 
     def _schema(self):
-        return F.schema_of_variant(self.c)
+        return F.schema_of_variant(self.c) if self.kind is None else self.kind
 
     def present(self):
         return self.c.isNotNull()
@@ -279,7 +279,7 @@ class Dynamic(Value):
         return F.when(s == "VOID", NULL).when(s == "BOOLEAN", BOOL).when(self.is_type("number"), NUMBER).when(s == "STRING", STRING)
 
     def scalar(self):
-        return self.c.isNull() | self.rank().isNotNull()
+        return self.c.isNull() | self._schema().rlike("^(VOID$|BOOLEAN$|STRING$|BIGINT|DECIMAL|DOUBLE|FLOAT)")
 
     def number(self):
         return F.when(self.is_type("number"), F.try_variant_get(self.c, "$", "double"))
@@ -336,7 +336,8 @@ class Dynamic(Value):
             number = F.when(s == "BOOLEAN", F.try_variant_get(self.c, "$", "boolean").cast("double")).when(kind == NUMBER, F.try_variant_get(self.c, "$", "double"))
             return key_struct(kind, number, F.when(s == "STRING", F.try_variant_get(self.c, "$", "string")))
 
-        return let(F.coalesce(self._schema(), F.lit("VOID")), of)
+        kind = F.coalesce(self._schema(), F.lit("VOID"))
+        return let(kind, of) if self.kind is None else of(kind)
 
     sort_column = key
 

@@ -1,5 +1,6 @@
 import pytest
 
+from docloom.operators import aggregate
 from docloom.plans import catalogue
 from tests.compare import connect, same
 
@@ -22,3 +23,9 @@ def test_bodies_and_groups_are_not_sorted(spark, name):
     """No sort by key below the result's own order."""
     plan = catalogue.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "SortMergeJoin" not in plan
+
+
+def test_groups_work_out_a_variant_type_once(spark):
+    df, root = catalogue.events(spark, DIR)
+    plan = aggregate.aggregate(df, [{"$group": {"_id": "$k", "total": {"$sum": "$k"}}}], root)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SchemaOfVariant.schemaOfVariant") == 1
