@@ -17,8 +17,8 @@ components, and buckets all of one component drop out:
   pair of a small bucket, and of a large one pairs that the pivots don't join. Documents that share passages of their
   own share small buckets. In a chunk, all pairs' intersections are one product of small tables, and only links that
   join components leave it.
-- after ROUNDS rounds, which have joined most of what belongs together at little cost, buckets that are still open and had
-  more than one chunk are compared whole: the members outside the pivot's component in blocks of about BLOCK documents or
+- buckets of more than one chunk go on alone, in chunks dealt anew up to round ROUNDS while a round still joins an eighth of
+  their components or more; then those still open are compared whole: the members outside the pivot's component in blocks of about BLOCK documents or
   BLOCK_BYTES bytes, each block with itself, with each other one and with each block of the pivot's component.
 So every pair that shares a bucket is compared by its full sets unless it is of one component already, however large the
 bucket. The last step's work grows with the square of the number of members that nothing joins. Before the full sets of a pivot's
@@ -255,18 +255,16 @@ def _mate_links(buckets: DataFrame, labels: DataFrame, sets: DataFrame, turn: in
     """Links (a, b) within chunks of the open buckets' members."""
     members = _open(buckets, labels)
     chunks = F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("bytes_all") / CHUNK_BYTES))
-    if turn > 1:
-        members = members.filter(chunks > 1)  # all pairs of the others were compared in the first turn
     own = members.select("band", "key", F.pmod(F.xxhash64("node", "band", F.lit(turn)), chunks).alias("chunk"), "node", "comp").join(sets.select("node", "text"), "node")
     return _links(own.withColumn("side", F.lit(False)), ["band", "key", "chunk"], width, limit)
 
 
 def _block_links(buckets: DataFrame, labels: DataFrame, sets: DataFrame, width: int, limit: int) -> DataFrame:
-    """Links (a, b) of all pairs of different components in the open buckets that had more than one chunk.
+    """Links (a, b) of all pairs of different components in the open buckets.
 
     Blocks 0 to `free` - 1 have the members outside the pivot's component, the others those within.
     """
-    members = _open(buckets, labels).filter((F.col("size") > CHUNK) | (F.col("bytes_all") > CHUNK_BYTES)).withColumn("out", F.col("comp") != F.col("pivot_comp"))
+    members = _open(buckets, labels).withColumn("out", F.col("comp") != F.col("pivot_comp"))
     blocks = lambda of: F.greatest(F.lit(1), F.ceil(F.sum(of.cast("long")) / BLOCK), F.ceil(F.sum(F.when(of, F.col("bytes"))) / BLOCK_BYTES)).cast("int")
     counts = members.groupBy("band", "key").agg(blocks(F.col("out")).alias("free"), blocks(~F.col("out")).alias("held"))
     dealt = members.select("band", "key", "node", "comp", "out").join(counts, ["band", "key"]).join(sets.select("node", "text"), "node")
@@ -283,6 +281,10 @@ def _links(own: DataFrame, by: list[str], width: int, limit: int) -> DataFrame:
     return lists.mapInArrow(_chunk_links(width, limit), "a long, b long").distinct()
 
 
+def _components(buckets: DataFrame, labels: DataFrame) -> int:
+    return buckets.select("node").distinct().join(labels, "node").select("comp").distinct().count()
+
+
 def _side(pairs: DataFrame, sets: DataFrame, of: str, column: str) -> DataFrame:
     return pairs.join(sets.select(F.col("node").alias(of), F.col(column).alias(f"{column}_{of}")), of)
 
@@ -296,28 +298,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reps = durable(known.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
     rows = known.select("digest", "id", "n", F.octet_length("text").alias("bytes"), "bands").join(reps, (known["digest"] == reps["digest"]) & (F.col("id") == F.col("rep"))).select("node", "n", "bytes", "bands").dropDuplicates(["node"])
     rows = durable(rows.select("node", "n", "bytes", F.posexplode("bands").alias("band", "key")))
-    sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = durable(rows.join(sizes, ["band", "key"]))
+    sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes_all")).filter("size > 1")
+    large = (F.col("size") > CHUNK) | (F.col("bytes_all") > CHUNK_BYTES)  # more than one chunk
+    buckets = durable(rows.join(sizes.withColumn("large", large).drop("bytes_all"), ["band", "key"]))
     # How many mates a node has over all bands, with a hash below it to tell apart equal ones.
     scores = buckets.groupBy("node").agg((F.sum("size") * (1 << 16) + F.pmod(F.xxhash64("node"), F.lit(1 << 16))).alias("score"))
     buckets = durable(buckets.drop("size").join(scores, "node"))
     labels = durable(scores.select("node", F.col("node").alias("comp")))
     own = known.select("digest", "id", "sketch", "text").join(reps, (known["digest"] == reps["digest"]) & (F.col("id") == F.col("rep"))).select("node", "sketch", "text")
     sets = durable(own.join(labels.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    for turn in range(ROUNDS + 1):
-        if turn == ROUNDS:
-            links = _block_links(buckets, labels, sets, width, limit)
-        elif turn:
-            links = _mate_links(buckets, labels, sets, turn, width, limit)
-        else:
-            pairs = _star_pairs(buckets, labels, sets, limit)
-            links = _side(_side(pairs, sets, "b", "text"), sets, "a", "text").mapInArrow(_confirm(width, limit), "a long, b long")
-        links = durable(links)
-        edges = links
+
+    def merged(links: DataFrame) -> DataFrame:
+        edges = durable(links)
         for c, to in (("a", "x"), ("b", "y")):
             edges = edges.join(labels.select(F.col("node").alias(c), F.col("comp").alias(to)), c)
-        edges = durable(edges.select("x", "y"))
-        labels = merge(labels, edges)
+        return merge(labels, durable(edges.select("x", "y")))
+
+    pairs = _star_pairs(buckets, labels, sets, limit)
+    labels = merged(_side(_side(pairs, sets, "b", "text"), sets, "a", "text").mapInArrow(_confirm(width, limit), "a long, b long"))
+    rest = durable(buckets.filter("large"))  # all pairs of the others are compared in the first turn
+    free = _components(rest, labels)
+    labels = merged(_mate_links(buckets, labels, sets, 1, width, limit))
+    for turn in range(2, ROUNDS):
+        before, free = free, _components(rest, labels)
+        if 8 * free >= 7 * before:
+            break
+        labels = merged(_mate_links(rest, labels, sets, turn, width, limit))
+    if free:
+        labels = merged(_block_links(rest, labels, sets, width, limit))
     comps = labels.join(reps, "node").select("digest", "comp", "rep")
     least = comps.groupBy("comp").agg(F.min("rep").alias("least"))
     linked = comps.join(least, "comp").select("digest", "least")

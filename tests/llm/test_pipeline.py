@@ -100,6 +100,24 @@ def test_links_in_large_buckets_are_all_found(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(zip(range(120), components(rows, 3, 85))) == {i: i - i % 2 for i in range(120)}
 
 
+def test_a_group_that_nothing_joins_meets_its_buckets_three_times(spark, monkeypatch):
+    """The pivots, one deal of chunks, and all pairs; a member has one row a bucket each time."""
+    monkeypatch.setattr(neardup, "CHUNK", 4)
+    met, opened = [], neardup._open
+
+    def counted(buckets, labels):
+        members = opened(buckets, labels)
+        met.append((members.count(), members.select("band", "key", "node").distinct().count(), buckets.count()))
+        return members
+
+    monkeypatch.setattr(neardup, "_open", counted)
+    template = " ".join(f"t{i}" for i in range(170))
+    rows = [(i, f"{template} {' '.join(f'd{i}x{k}' for k in range(21))}") for i in range(60)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, limit=85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i for i in range(60)}
+    assert len(met) == 3 and all(made == members <= all_ for made, members, all_ in met) and met[0][0] > 60
+
+
 def test_near_duplicates_awkward(spark, tmp_path):
     df = awkward(spark)
     got = neardup.op6_near_dedup(spark, written(df, tmp_path)).collect()
