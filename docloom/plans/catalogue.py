@@ -264,7 +264,7 @@ def find_one(spark, sf_dir):
 @query("SELECT o_orderkey FROM orders WHERE o_totalprice > 400000")
 def find_ids(spark, sf_dir):
     df, root = orders(spark, sf_dir)
-    return Q.find_ids(df, {"o_totalprice": {"$gt": 400000}}, most=1_000_000, root=root)
+    return Q.find_ids(df, {"o_totalprice": {"$gt": 400000}}, root=root)
 
 
 # --- aggregations

@@ -29,3 +29,8 @@ def test_groups_work_out_a_variant_type_once(spark):
     df, root = catalogue.events(spark, DIR)
     plan = aggregate.aggregate(df, [{"$group": {"_id": "$k", "total": {"$sum": "$k"}}}], root)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SchemaOfVariant.schemaOfVariant") == 1
+
+
+def test_find_ids_has_no_cap(spark, tmp_path):
+    spark.range(1_000_001).selectExpr("id AS o_orderkey", "400001D AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    assert catalogue.queries()["find_ids"](spark, str(tmp_path)).count() == 1_000_001
