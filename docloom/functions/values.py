@@ -270,7 +270,7 @@ class Dynamic(Value):
     def is_type(self, kind):
         s = self._schema()
         if kind == "number":
-            return s.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+            return s.isin("BIGINT", "DOUBLE", "FLOAT") | s.startswith("DECIMAL")
         start = {"null": "VOID", "bool": "BOOLEAN", "string": "STRING", "array": "ARRAY<", "object": "OBJECT<"}.get(kind)
         return s.startswith(start) if start else F.lit(False)
 
@@ -301,6 +301,8 @@ class Dynamic(Value):
         if literal is None:
             return self.c.isNull() | (self._schema() == "VOID")
         rank = rank_of(literal)
+        if rank == STRING:  # the type is only asked of equal texts
+            return (F.try_variant_get(self.c, "$", "string") == F.lit(literal)) & (self._schema() == "STRING")
         if rank is not None:
             return self._own(rank) == F.lit(float(millis(literal)) if rank == NUMBER else literal)
         false = F.lit(False)
@@ -319,7 +321,12 @@ class Dynamic(Value):
         other = COMPARE[op](self.rank(), F.lit(rank))
         if rank == NULL:
             return other
-        return F.when(self.rank() == rank, COMPARE[op](self._own(rank), F.lit(float(millis(literal)) if rank == NUMBER else literal))).otherwise(other)
+        return F.coalesce(COMPARE[op](self._own(rank), F.lit(float(millis(literal)) if rank == NUMBER else literal)), other)
+
+    def against(self, number: float) -> tuple[Column, Column, Column]:
+        """Whether the key is below, above or at a number's."""
+        own, text = self.number(), F.coalesce(self.is_type("string"), F.lit(False))
+        return F.coalesce(own < number, ~text), F.coalesce(own > number, text), F.coalesce(own == number, F.lit(False))
 
     def matches(self, pattern):
         return self.text().rlike(pattern)

@@ -88,7 +88,7 @@ def _sum(value: Value, out: str) -> Column:
     return F.variant_get(own, "$.v", "variant").alias(out)
 
 
-def _read_once(rows: DataFrame, root: Root, paths: list[str]) -> tuple[DataFrame, dict[str, Value]]:
+def read_once(rows: DataFrame, root: Root, paths: list[str]) -> tuple[DataFrame, dict[str, Value]]:
     """The values by path; VARIANT ones become columns, with their types beside them, so that a row's are worked out once."""
     values = {path: root.get(path) for path in paths}
     for i, (path, value) in enumerate(values.items()):
@@ -128,7 +128,7 @@ def aggregate(df: DataFrame, pipeline, root: Root | None = None, limits: Limits
     rows = df if own.match == filters.All(()) else df.filter(filters.compile_filter(own.match, root))
     if limits.candidates is not None and rows.limit(limits.candidates + 1).count() > limits.candidates:
         raise LimitExceeded("too many candidates")
-    rows, values = _read_once(rows, root, [path for _, op, path in own.accumulators if op != "$count"] + ([] if own.key is None else [own.key]))
+    rows, values = read_once(rows, root, [path for _, op, path in own.accumulators if op != "$count"] + ([] if own.key is None else [own.key]))
     sums = [F.count(F.lit(1)).alias(out) if op == "$count" else _sum(values[path], out) for out, op, path in own.accumulators]
     sums = sums or [F.count(F.lit(1)).alias("_n")]
     names = [out for out, _, _ in own.accumulators]
@@ -164,7 +164,7 @@ def count(df: DataFrame, filt=None, root: Root | None = None) -> DataFrame:
 def distinct(df: DataFrame, path: str, filt=None, root: Root | None = None) -> DataFrame:
     """`value`: one row for each distinct value, in order; missing, null, arrays and objects share one."""
     root = root or Root(df.schema)
-    rows, values = _read_once(df.filter(filters.compile_filter(filt, root)), root, [path])
+    rows, values = read_once(df.filter(filters.compile_filter(filt, root)), root, [path])
     value = values[path]
     if isinstance(value, Typed) and value.rank is not None:
         return rows.select(value.column().alias("value")).distinct().orderBy(F.col("value").asc_nulls_first())

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.errors import BadQuery, LimitExceeded
-from docloom.functions.values import Dynamic, Root, literal_key, name, rank_of
+from docloom.functions.values import NUMBER, Dynamic, Root, literal_key, millis, name, rank_of
+from docloom.operators.aggregate import read_once
 from docloom.plans import filters, projection
 
 MOST_SORTS = 64
@@ -87,6 +88,11 @@ def _before(root: Root, keys: list[tuple[str, bool]], bound: list, inclusive: bo
     for (path, up), x in zip(keys, bound):
         value = root.get(path)
         rank = rank_of(x)
+        if isinstance(value, Dynamic) and rank == NUMBER:
+            below, above, at = value.against(float(millis(x)))
+            steps.append(same & (below if up else above))
+            same = same & at
+            continue
         plain = not isinstance(value, Dynamic) and rank is not None and rank == getattr(value, "rank", None) and rank
         a, b = value._against(x) if plain else (value.key(), literal_key(x))
         less = F.coalesce(a < b, F.lit(True)) if plain and up else F.coalesce(a > b, F.lit(False)) if plain else (a < b if up else a > b)
@@ -109,9 +115,12 @@ def index_range(df: DataFrame, keys, lo: list | None = None, hi: list | None = N
     if cursor:
         df = df.filter(_after(root, keys, read_cursor(cursor)))
     if keyed:
-        df = df.withColumn("_sort", _sort_keys(root, keys))
-    df = df.orderBy(*order([(p, 1 if up else -1) for p, up in keys], root))
+        rows, values = read_once(df, root, [p for p, _ in keys])
+        extra = [c for c in rows.columns if c not in df.columns]
+        df = rows.withColumn("_sort", _sort_keys(values.__getitem__, keys))
+    df = df.orderBy(*(_by_keys(root, keys) if keyed else order([(p, 1 if up else -1) for p, up in keys], root)))
     df = df.limit(limit) if limit else df
+    df = df.drop(*extra) if keyed else df
     return df.select(name(root.id_column), *(["_sort"] if keyed else [])) if ids_only else df
 
 
@@ -128,8 +137,14 @@ def offset_page(df: DataFrame, filt=None, sort=None, size: int = 100, cursor: st
     return find(df, filt, sort, project, at, size, root)
 
 
-def _sort_keys(root: Root, keys: list[tuple[str, bool]]) -> Column:
-    return F.array(*[root.get(p).key() for p, _ in keys]) if keys else F.array().cast("array<struct<rank:tinyint,num:double,str:string>>")
+def _sort_keys(get, keys: list[tuple[str, bool]]) -> Column:
+    return F.array(*[get(p).key() for p, _ in keys]) if keys else F.array().cast("array<struct<rank:tinyint,num:double,str:string>>")
+
+
+def _by_keys(root: Root, keys: list[tuple[str, bool]]) -> list[Column]:
+    """The order of order(), for VARIANT values by the keys that `_sort` holds already."""
+    own = [F.get("_sort", F.lit(i)) if isinstance(root.get(p), Dynamic) else root.get(p).sort_column() for i, (p, _) in enumerate(keys)]
+    return [c.asc_nulls_first() if up else c.desc_nulls_last() for c, (_, up) in zip(own, keys)] + ([] if "_id" in [p for p, _ in keys] else order(None, root))
 
 
 def _after(root: Root, own: list[tuple[str, bool]], at: dict) -> Column:
@@ -138,6 +153,12 @@ def _after(root: Root, own: list[tuple[str, bool]], at: dict) -> Column:
     if len(at.get("keys", ())) != len(own):
         raise BadQuery("the cursor is of another sort")
     for (path, up), (rank, num, text) in zip(own, at["keys"]):
+        value = root.get(path)
+        if isinstance(value, Dynamic) and rank == NUMBER:
+            below, above, level = value.against(num)
+            steps.append(same & (above if up else below))
+            same = same & level
+            continue
         key = root.get(path).key()
         bound = F.struct(F.lit(rank).cast("tinyint").alias("rank"), F.lit(num).cast("double").alias("num"), F.lit(text).cast("string").alias("str"))
         steps.append(same & (key > bound if up else key < bound))
@@ -166,5 +187,5 @@ def page(df: DataFrame, filt=None, sort=None, size: int = 100, cursor: str | Non
     out = df.filter(filters.compile_filter(filt, root))
     if cursor:
         out = out.filter(_after(root, own, read_cursor(cursor)))
-    out = out.withColumn("_sort", _sort_keys(root, own))
+    out = out.withColumn("_sort", _sort_keys(root.get, own))
     return out.orderBy(*order(sort, root)).limit(size)

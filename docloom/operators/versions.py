@@ -2,15 +2,12 @@
 
 A change row has `_id`, `_seq`, `_ord`, `op` ('upsert' or 'delete'), a body and `_expires_at` (unix ms; null or 0: never).
 A change is told from all others by its key, `_seq` and `_ord`. The newest versions' numbers are found by a hash aggregate
-over keys and numbers alone, which combines before the shuffle; bodies are then met by a hash join with these: no window, and no
-sort of bodies.
+over keys and numbers alone, which combines before the shuffle; bodies are then met by a hash join with these, where they are: no
+window, no sort of bodies, and no second shuffle of the numbers.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +29,10 @@ def newest(changes: DataFrame, key: str | list[str] = "_id", order: list[str] |
     for c in order[1:]:
         place = place * F.lit(str(1 << 63)).cast("decimal(20,0)") + name(c)
     place = place.cast("decimal(38,0)")  # a number of fixed width, which a hash aggregate can hold
-    last = changes.groupBy(*[name(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.max(place).alias("__place"))
-    same = [name(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    return changes.join(last.hint("shuffle_hash"), reduce(and_, same, place == F.col("__place")), "left_semi")
+    own = F.struct(*[name(k).alias(f"k{i}") for i, k in enumerate(keys)])  # null keys are equal within a struct
+    last = changes.groupBy(own.alias("__key")).agg(F.max(place).alias("__place"))
+    # no place is above the last, so >= is equality; as it is no key of the join, the groups stay where they are
+    return changes.join(last.hint("shuffle_hash"), (own == F.col("__key")) & (place >= F.col("__place")), "left_semi")
 
 
 def snapshot(changes: DataFrame, seq: int | None = None, now_ms: int | None = None, key: str = "_id", order: list[str] | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 import os
 import tempfile
 import uuid
@@ -541,11 +542,11 @@ def raw_versions(spark, sf_dir):
 # --- the store: each query makes one of its own, writes to it and reads it back
 
 
-def stored(spark, sf_dir) -> tuple[Engine, Collection, int]:
-    """Orders as documents; then those that are in progress are updated, and the cheap ones deleted."""
+def stored(spark, sf_dir, *more) -> tuple[Engine, Collection, int]:
+    """Orders as documents (with more fields, if any are given); then those that are in progress are updated, and the cheap ones deleted."""
     db = engine(spark)
     own = db.collection("orders")
-    first = own.insert_table(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), "o_orderkey")
+    first = own.insert_table(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_id"), "o_custkey", "o_orderstatus", "o_totalprice", *more))
     own.update_many({"o_orderstatus": "P"}, {"$set": {"o_orderstatus": "X"}, "$inc": {"o_custkey": 1000}})
     own.delete_many({"o_totalprice": {"$lt": 50000}})
     return db, own, first
@@ -614,13 +615,14 @@ def store_watch(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 300000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10")
 def store_index_pages(spark, sf_dir):
-    """The second and third page of an index, by their tokens."""
-    _, own, _ = stored(spark, sf_dir)
-    own.create_index([("o_totalprice", -1)])
-    _, at = own.index_page("by_o_totalprice", None, [300000], 10)
-    second, at = own.index_page("by_o_totalprice", None, [300000], 10, at)
-    third, _ = own.index_page("by_o_totalprice", None, [300000], 10, at)
-    return own.state().filter(F.col("_id").isin(second + third)).select(F.col("_id").cast("bigint").alias("o_orderkey"), F.try_variant_get("body", "$.o_totalprice", "double").alias("o_totalprice"))
+    """The second and third page of an index, by their tokens; equal prices are in the order of the key's number, not of its text."""
+    _, own, _ = stored(spark, sf_dir, "o_orderkey")
+    own.create_index([("o_totalprice", -1), ("o_orderkey", 1)], name="by_price")
+    below = math.nextafter(300000, 0)  # the range ends before its bound, and 300000 is in it
+    _, at = own.index_page("by_price", None, [below], 10)
+    second, at = own.index_page("by_price", None, [below], 10, at) if at else ([], None)
+    third, _ = own.index_page("by_price", None, [below], 10, at) if at else ([], None)
+    return own.state(ids=second + third).select(F.col("_id").cast("bigint").alias("o_orderkey"), F.try_variant_get("body", "$.o_totalprice", "double").alias("o_totalprice"))
 
 
 @query("SELECT r_regionkey AS id, CASE WHEN r_regionkey = 1 THEN 'one' ELSE r_name END AS name FROM region WHERE r_regionkey <> 2 UNION ALL SELECT 77, 'new'")

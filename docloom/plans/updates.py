@@ -188,21 +188,36 @@ def dynamic(column: Column, path: tuple[str, ...], op: str, value) -> Column:
     return let(column, lambda c: _dynamic(c, path, op, value))
 
 
+def _fields(column: Column) -> Column:
+    """Null for what is no object."""
+    return F.try_variant_get(column, "$", EMPTY)
+
+
+def _with_fields(column: Column, new: dict[str, tuple[tuple[str, ...], str, object]]) -> Column:
+    """The object with the fields that operators (not $unset) make of its own: taken apart and put together once."""
+
+    def made(fields: Column) -> Column:
+        have = F.coalesce(fields, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>")))
+        pairs = [x for head, (rest, op, value) in new.items() for x in (F.lit(head), dynamic(F.try_element_at(fields, F.lit(head)), rest, op, value))]
+        out = F.to_variant_object(F.map_concat(F.map_filter(have, lambda k, _: ~k.isin(list(new))), F.create_map(*pairs)))
+        return checked(column.isNull() | fields.isNotNull(), f"{next(iter(new))!r} is below a value that is no object", out)
+
+    return let(_fields(column), made)
+
+
 def _dynamic(column: Column, path: tuple[str, ...], op: str, value) -> Column:
     own = Dynamic(column)
     if path:
         head, rest = path[0], path[1:]
         if head.startswith("$["):
             return _dynamic_element(column, head, rest, value)
-        fields = F.when(own.is_type("object"), F.try_variant_get(column, "$", EMPTY))
+        fields = _fields(column)
         below = F.try_element_at(fields, F.lit(head))
         if op == "$unset":
             if not rest:
                 return F.when(fields.isNotNull(), F.to_variant_object(F.map_filter(fields, lambda k, _: k != head))).otherwise(column)
             return F.when(below.isNotNull(), F.to_variant_object(_with_key(fields, head, dynamic(below, rest, op, value)))).otherwise(column)
-        new = dynamic(below, rest, op, value)
-        made = F.to_variant_object(_with_key(F.coalesce(fields, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))), head, new))
-        return checked(column.isNull() | fields.isNotNull(), f"{head!r} is below a value that is no object", made)
+        return _with_fields(column, {head: (rest, op, value)})
     if op in ("$set", "$setOnInsert"):
         return variant_literal(value)
     if op == "$inc":
@@ -210,7 +225,12 @@ def _dynamic(column: Column, path: tuple[str, ...], op: str, value) -> Column:
         total = F.coalesce(own.number(), F.lit(0.0)) + float(value)
         integral = (total == F.floor(total)) & (F.abs(total) < float(1 << 53))
         exact = F.coalesce(whole, F.lit(0).cast("bigint")) + int(value) if isinstance(value, int) else F.lit(None).cast("bigint")
-        return F.when(integral, as_variant(F.coalesce(F.when(whole.isNotNull() & (F.abs(whole) < (1 << 53)), exact), total.try_cast("bigint")))).otherwise(as_variant(total))
+        made = F.when(integral, as_variant(F.coalesce(F.when(whole.isNotNull() & (F.abs(whole) < (1 << 53)), exact), total.try_cast("bigint")))).otherwise(as_variant(total))
+        if not isinstance(value, int) or abs(value) >= 1 << 53:
+            return made
+        # the same for whole numbers that doubles hold, with the type read once
+        small = lambda n: (n > -(1 << 53)) & (n < (1 << 53))
+        return let(whole, lambda n: F.when(small(n) & small(n + value), as_variant(n + value)).otherwise(made))
     items = F.when(own.is_type("array"), F.try_variant_get(column, "$", "array<variant>"))
     made = F.coalesce(items, F.array().cast("array<variant>"))
     pushed = as_variant(F.concat(made, F.array(variant_literal(value))))
@@ -243,8 +263,21 @@ def apply_typed(columns: dict[str, tuple[Column, T.DataType]], ops: list[Op], in
 
 
 def apply_dynamic(body: Column, ops: list[Op], inserting: bool = False) -> Column:
+    run: dict = {}  # operators on different fields, which are applied together
+
+    def applied(body: Column) -> Column:
+        own = dict(run)
+        run.clear()
+        return let(body, lambda c: _with_fields(c, own)) if own else body
+
     for op in sorted(ops, key=lambda o: o.op != "$setOnInsert"):
-        if op.op != "$setOnInsert" or inserting:
-            body = dynamic(body, op.path, op.op, op.value)
-    return body
+        if op.op == "$setOnInsert" and not inserting:
+            continue
+        if op.op == "$unset":
+            body = dynamic(applied(body), op.path, op.op, op.value)
+            continue
+        if op.path[0] in run:
+            body = applied(body)
+        run[op.path[0]] = (op.path[1:], op.op, op.value)
+    return applied(body)
 

@@ -36,6 +36,7 @@ for _name, _kind in [("_id", T.StringType()), ("_seq", T.LongType()), ("_ord", T
 ROW = ["_id", "op", "body", "_expires_at", "key", "value"]
 KV = "_kv"
 MOST_INDEX_FIELDS, MOST_BATCH, MOST_TX_OPS, TX_SECONDS, MOST_TX_BYTES = 64, 1024, 256, 30, 32 << 20
+MOST_PROBED = 10_000  # versions that an index page holds against the last ones before it joins all
 FORBIDDEN = {"find", "find_one", "find_ids", "update_one", "update_many", "delete_one", "delete_many", "count_documents", "distinct", "aggregate", "index_range", "create_index", "drop_collection"}
 
 
@@ -107,12 +108,30 @@ class Engine:
 
     def commit(self, parts: dict[str, DataFrame]) -> int:
         """Rows of ROW's columns by collection, published together; returns their sequence number."""
+        return self._publish(*self._stage(parts))
+
+    def commit_some(self, parts: dict[str, DataFrame]) -> tuple[int, int]:
+        """As commit(), but no rows make no commit; returns the sequence number (or 0) and how many rows there are.
+
+        They are worked out once, and counted by the staged files' footers.
+        """
+        seq, staging = self._stage(parts)
+        n = self.spark.read.schema(T.StructType([f for f in CHANGES if f.name != "c"])).parquet(staging).count()
+        if n:
+            return self._publish(seq, staging), n
+        files.delete(self.spark, staging)
+        return 0, 0
+
+    def _stage(self, parts: dict[str, DataFrame]) -> tuple[int, str]:
         seq, staging = self.last_seq() + 1, f"{self.path}/staging/{uuid.uuid4().hex}"
         for name, rows in parts.items():
             have = {f.name for f in rows.schema}
             own = rows.select(*[F.col(c) if c in have else F.lit(None).cast(CHANGES[c].dataType).alias(c) for c in ROW])
             own = own.withColumns({"_seq": F.lit(seq).cast("bigint"), "_ord": F.monotonically_increasing_id(), "_ts": F.current_timestamp(), "_expires_at": F.coalesce("_expires_at", F.lit(0)).cast("bigint")})
             own.select(*[c.name for c in CHANGES if c.name not in ("c", "collection")]).write.parquet(f"{staging}/collection={name}")
+        return seq, staging
+
+    def _publish(self, seq: int, staging: str) -> int:
         if not files.rename(self.spark, staging, f"{self.path}/changes/c={seq:020d}"):
             files.delete(self.spark, staging)
             raise Conflict("another commit has this sequence number")
@@ -228,9 +247,10 @@ class Collection:
 
     # --- reads
 
-    def state(self, seq: int | None = None, now: int | None = None) -> DataFrame:
-        """_id, body, _rev, _expires_at of the documents visible at a sequence number."""
-        own = versions.snapshot(self.engine.changes(self.name), self.engine.readable(seq), now_ms() if now is None else now)
+    def state(self, seq: int | None = None, now: int | None = None, ids: list[str] | None = None) -> DataFrame:
+        """_id, body, _rev, _expires_at of the documents visible at a sequence number; of those with the ids, if there is a list."""
+        own = self.engine.changes(self.name)
+        own = versions.snapshot(own if ids is None else own.filter(self._among(ids)), self.engine.readable(seq), now_ms() if now is None else now)
         return own.select("_id", "body", F.col("_seq").alias("_rev"), "_expires_at")
 
     def find(self, filt=None, sort=None, projection=None, skip: int = 0, limit: int = 0, seq: int | None = None) -> DataFrame:
@@ -279,9 +299,35 @@ class Collection:
         """The ids of an index range by pages, and the next token, which keeps to the first page's snapshot."""
         seq = Q.read_cursor(cursor)["seq"] if cursor else self.engine.last_seq()
         keys = [tuple(f) for f in self._index(index)["fields"]]
-        rows = Q.index_range(self.state(seq), keys, lo, hi, size, True, self.root, cursor, True).collect()
+        rows = self._probed(seq, keys, lo, hi, size, cursor)
+        if rows is None:
+            rows = Q.index_range(self.state(seq), keys, lo, hi, size, True, self.root, cursor, True).collect()
         return [r["_id"] for r in rows], Q.cursor_after(rows[-1], None, self.root, seq) if len(rows) == size else None
 
+    @staticmethod
+    def _among(ids: list) -> Column:
+        own = F.col("_id").isin([i for i in ids if i is not None])
+        return own | F.col("_id").isNull() if None in ids else own
+
+    def _probed(self, seq: int, keys: list, lo, hi, size: int, cursor: str | None) -> list | None:
+        """The rows of an index page without a join of all versions; None if it takes more than MOST_PROBED.
+
+        The first versions in the range are held against the last ones of their documents; if too few are the last, or there
+        are more in the range, it is done with more of them.
+        """
+        seen = self.engine.changes(self.name).filter(F.col("_seq") <= self.engine.readable(seq))
+        shown = seen.filter("op <> 'delete'").filter(versions.alive(now_ms()))
+        n = 2 * size + 16
+        while 0 < size and n <= MOST_PROBED:
+            found = Q.index_range(shown, keys, lo, hi, n, root=self.root, cursor=cursor, keyed=True).select("_id", "_sort", "_seq", "_ord").collect()
+            last = seen.filter(self._among(list({r["_id"] for r in found}))).groupBy("_id").agg(F.max(F.struct("_seq", "_ord")).alias("at"))
+            last = {r["_id"]: tuple(r["at"]) for r in last.collect()} if found else {}
+            rows = [r for r in found if (r["_seq"], r["_ord"]) == last[r["_id"]]]
+            if len(rows) >= size or len(found) < n:
+                return rows[:size]
+            n *= 8
+        return None
+
     def _index(self, index: str) -> dict:
         own = next((i for i in self.indexes if i["name"] == index), None)
         if own is None:
@@ -321,10 +367,13 @@ class Collection:
 
     def write(self, rows: DataFrame, check: bool = True) -> int:
         """Upserts and deletes (`op`) by `_id`; expiry by the TTL index; unique indexes hold over the final state."""
+        return self.engine.commit({self.name: self._checked(rows, check)})
+
+    def _checked(self, rows: DataFrame, check: bool = True) -> DataFrame:
         rows = self._expiring(rows)
         if check and any(i["unique"] for i in self.indexes):
             self._check_unique(rows)
-        return self.engine.commit({self.name: rows})
+        return rows
 
     def _expiring(self, rows: DataFrame) -> DataFrame:
         ttl = next((i for i in self.indexes if i.get("ttl") is not None), None)
@@ -387,10 +436,7 @@ class Collection:
         rows = own.changed.select("_id", F.lit("upsert").alias("op"), "body")
         if own.upserted_id is not None:
             rows = rows.withColumn("body", self._with_id())
-        elif rows.isEmpty():
-            return {"matched": 0, "modified": 0}
-        seq = self.write(rows)
-        n = self.engine.changes(self.name).filter(F.col("c") == seq).count()
+        _, n = self.engine.commit_some({self.name: self._checked(rows)})
         return {"matched": 0, "modified": 0, "upserted_id": own.upserted_id} if own.upserted_id is not None else {"matched": n, "modified": n}
 
     @staticmethod
@@ -407,10 +453,7 @@ class Collection:
 
     def _delete(self, filt, one: bool) -> int:
         gone = update.delete(self.state().select("_id", "body"), filt, one, self.root).changed.select("_id", F.lit("delete").alias("op"))
-        if gone.isEmpty():
-            return 0
-        seq = self.engine.commit({self.name: gone})
-        return self.engine.changes(self.name).filter(F.col("c") == seq).count()
+        return self.engine.commit_some({self.name: gone})[1]
 
     def delete_one(self, filt) -> int:
         return self._delete(filt, True)
@@ -437,8 +480,8 @@ class Collection:
             raise DuplicateKey(f"index {name}")
         self.indexes.append(index)
         self.engine.save()
-        if expire_after_seconds is not None and not (old := self.state().select("_id", F.lit("upsert").alias("op"), "body")).isEmpty():
-            self.write(old, check=False)
+        if expire_after_seconds is not None:
+            self.engine.commit_some({self.name: self._checked(self.state().select("_id", F.lit("upsert").alias("op"), "body"), check=False)})
         return name
 
     # --- change feed
@@ -505,7 +548,7 @@ class KeyValueStore:
 
     def delete_prefix(self, prefix: bytes) -> int:
         gone = kv.prefix_scan(self.state(), prefix).select(F.lower(F.hex("key")).alias("_id"), F.lit("delete").alias("op"), "key")
-        return 0 if gone.isEmpty() else self.engine.commit({KV: gone})
+        return self.engine.commit_some({KV: gone})[0]
 
     def usage(self) -> DataFrame:
         return kv.tenant_usage(self.state())

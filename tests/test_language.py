@@ -251,3 +251,9 @@ def test_plans_reach_the_scan(spark):
     assert "EqualTo(o_orderstatus,F)" in own and "GreaterThanOrEqual(o_custkey,5)" in own and "In(o_orderpriority" in own and "o_totalprice" not in own
     assert "TakeOrderedAndProject" in plan(Q.find(df, {}, [("o_totalprice", -1)], limit=5, root=root))
     assert "Window" not in plan(nest.nest_many(df, df.withColumnRenamed("o_orderkey", "k"), ["o_orderkey"], ["o_custkey"], "x", ["k"], ["k"]))
+
+
+def test_increments_of_the_widest_whole_numbers(spark):
+    df = spark.sql("SELECT parse_json(j) AS v FROM VALUES ('{\"n\": -9223372036854775808}'), ('{\"n\": 9007199254740991}'), ('{\"n\": 5}'), ('{\"n\": 1.5}') AS t(j)")
+    own = df.select(F.to_json(updates.apply_dynamic(F.col("v"), updates.parse({"$inc": {"n": 1}, "$set": {"m.k": 1, "m.l": 2}}))).alias("j")).collect()
+    assert [json.loads(r["j"]) for r in own] == [{"n": n, "m": {"k": 1, "l": 2}} for n in (-9223372036854775808, 9007199254740992, 6, 2.5)]

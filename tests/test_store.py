@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.errors import AlreadyExists, BadQuery, BadUpdate, Conflict, DuplicateKey, LimitExceeded, NotFound
-from docloom.sources import files
+from docloom.sources import files, store
 from docloom.sources.store import Engine, Token, now_ms
 from docloom.streaming.watch import watch
 
@@ -104,6 +104,62 @@ def test_index_ranges(boats):
         boats.index_range("by_port")
 
 
+def test_index_pages_join_no_versions(boats, monkeypatch):
+    boats.create_index([("mast", -1), ("crew", 1)])
+    for _ in range(3):
+        boats.update_many({"mast": 2}, {"$inc": {"crew": 1}})
+    boats.update_one({"_id": "boat2"}, {"$set": {"mast": 0}})
+    boats.insert_many([{"_id": "raft", "mast": "none"}, {"_id": "kayak"}, {"_id": "gone", "mast": 9}])
+    boats.delete("gone")
+    order = [r["_id"] for r in boats.index_range("by_mast_crew", ids_only=True).collect()]
+    assert order == ["raft", "boat4", "boat0", "boat5", "boat1", "boat3", "boat2", "kayak"]
+
+    def pages(size, *bounds):
+        found, at = boats.index_page("by_mast_crew", *bounds, size=size)
+        while at:
+            more, at = boats.index_page("by_mast_crew", *bounds, size=size, cursor=at)
+            found = found + more
+        return found
+
+    monkeypatch.setattr(store, "MOST_PROBED", 0)  # joined
+    assert pages(3) == order and pages(2, [2], [1]) == ["boat4", "boat0"]
+    monkeypatch.setattr(store, "MOST_PROBED", 10_000)
+    monkeypatch.setattr(store.versions, "snapshot", None)
+    assert pages(3) == order and pages(2, [2], [1]) == ["boat4", "boat0"]
+
+
+def test_index_pages_behind_many_old_versions(boats, monkeypatch):
+    boats.create_index([("crew", -1)])
+    boats.insert_many([{"_id": f"gone{i}", "crew": 100 + i} for i in range(40)])
+    boats.delete_many({"crew": {"$gte": 100}})
+    for most in (10_000, 20):  # more are probed, or all joined
+        monkeypatch.setattr(store, "MOST_PROBED", most)
+        found, at = boats.index_page("by_crew", size=2)
+        assert found == ["boat2", "boat0"] and boats.index_page("by_crew", size=2, cursor=at)[0] == ["boat4", "boat3"]
+
+
+def test_writes_work_their_rows_out_once(boats, engine, monkeypatch):
+    before = engine.last_seq()
+    monkeypatch.setattr(type(boats.state()), "isEmpty", None)
+    assert boats.update_many({"port": "Oslo"}, {"$set": {"mast": 4}}) == {"matched": 0, "modified": 0} and boats.delete_many({"mast": 7}) == 0
+    assert engine.last_seq() == before and files.names(engine.spark, f"{engine.path}/staging") == []
+    assert boats.update_many({"port": "Kiel"}, {"$set": {"mast": 4}}) == {"matched": 2, "modified": 2} and boats.delete_many({"mast": 4}) == 2
+    assert engine.last_seq() == before + 2
+
+
+def test_numbers_of_versions_are_shuffled_once(boats):
+    plan = boats.state()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan
+
+
+def test_null_ids_are_one_document(spark, engine):
+    own = engine.collection("odd")
+    own.insert_table(spark.createDataFrame([(None, 1), ("a", 1)], "_id string, n int"))
+    own.insert_table(spark.createDataFrame([(None, 2)], "_id string, n int"))
+    own.create_index("n")
+    assert sorted((b.get("_id"), b["n"]) for b in bodies(own.find({"n": {"$gt": 1}}))) == [(None, 2)] and own.index_page("by_n")[0] == ["a", None]
+
+
 def test_expiry(engine):
     tides = engine.collection("tides")
     tides.create_index("until", expire_after_seconds=2)
